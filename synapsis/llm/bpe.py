@@ -14,6 +14,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: How byte-level models cut text before merges: a fixed value.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: The pattern's classes are those of Unicode 15; later letters and numbers are in neither class there.
+BEYOND = regex.compile("[\\u0530-\U0010ffff]")
 INFINITE = 1 << 60
 #: Distinct pre-tokens a worker remembers, of this many bytes at most; older ones are forgotten all at once.
 REMEMBER, SHORT = 1 << 19, 64
@@ -36,6 +39,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+@lru_cache(1)
+def _later() -> regex.Pattern:
+    """Letters and numbers of the regex library that Unicode 15 has not assigned."""
+    known = regex.compile(r"[\p{L}\p{N}]")
+    new = [c for c in map(chr, range(0x530, 0x110000)) if unicodedata.category(c) == "Cn" and known.match(c)]
+    return regex.compile("[" + "".join(map(regex.escape, new)) + "]") if new else regex.compile("(?!)")
+
+
+def classed(text: str) -> str:
+    """``text`` as the pattern is to see it, of the same length: later letters become a private-use character."""
+    return _later().sub("\ue000", text) if BEYOND.search(text) else text
+
+
 class Merges:
     """A merge list and what follows from it."""
 
@@ -191,8 +207,8 @@ class Encoder:
             if k % 2:
                 yield (self.table.special[part],)
                 continue
-            for m in PATTERN.finditer(part):
-                pre = m.group()
+            for m in PATTERN.finditer(classed(part)):
+                pre = part[m.start() : m.end()]
                 if len(pre) > 4 * SHORT:
                     t = Transducer(self.table)
                     for i in range(0, len(pre), 1024):
@@ -242,8 +258,8 @@ def _digests(e: Encoder, text: str) -> tuple[int, str, str]:
         sep = ","
         held.clear()
 
-    pieces = [text] if not any(s in text for s in table.special) else None
-    if pieces and len(text) < 1 << 16:  # the same as stream(), with less per pre-token
+    plain = len(text) < 1 << 16 and not any(s in text for s in table.special) and classed(text) is text
+    if plain:  # the same as stream(), with less per pre-token
         for pre in PATTERN.findall(text):
             held += known.get(pre) or (e.of(pre) if len(pre) <= 4 * SHORT else _long(e, pre))
     else:

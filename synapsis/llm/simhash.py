@@ -180,16 +180,17 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 4, most: int = BUCKET
     return links.union(near.distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, most: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, most: int = BUCKET, rid_col: str | None = None) -> DataFrame:
     """(rid, doc_id, fingerprint, component_id, keep) for each row of ``docs``.
 
     component_id is the smallest id reachable over links; ``keep`` marks one row of each component (smallest id,
     then row). Null text is empty; texts without words have fingerprint zero and link like any other. A row with a
     null id gets its component's smallest id, null if no row there has one. Repeated rows are each returned. An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored. ``rid_col`` names row ids that are there already.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = with_rid(docs, scratch, [F.col(id_col).alias("doc_id"), as_binary(F.col(text_col)).alias("raw")])
+    columns = [F.col(id_col).alias("doc_id"), as_binary(F.col(text_col)).alias("raw")]
+    rows = docs.select(*columns, F.col(rid_col).alias("rid")) if rid_col else with_rid(docs, scratch, columns)
     prints = scratch.save(fingerprints(rows, words), "prints")
     each = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
     comp = components(link_fingerprints(each.select("fp"), max_bits, most, scratch), scratch)
