@@ -48,20 +48,31 @@ def references(max_bits: int = 4) -> list[list[int]]:
     return out
 
 
-def fingerprint(raw: bytes, words: int = 4) -> int:
-    """Fingerprint of UTF-8 text, unsigned: lower-cased A-Z, ``words``-word shingles with repeats, XXH64 seed 42."""
+def shingles(raw: bytes, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of the ``words``-word shingles of UTF-8 text, A-Z lower-cased, repeats included."""
     parts = raw.lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(parts), min(words, len(parts))
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(parts) - n + 1].tolist(), ends[n - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(parts) - n + 1].tolist(), ends[n - 1 :].tolist())], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of ``h`` have; zero for none."""
+    if not len(h):
+        return 0
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(raw: bytes, words: int = 4) -> int:
+    """Fingerprint of UTF-8 text, unsigned."""
+    return majority(shingles(raw, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """``docs(.., raw binary)`` with ``raw`` replaced by ``fp`` (signed long with the fingerprint's bits)."""
     keys = [c for c in docs.columns if c != "raw"]
@@ -115,14 +126,14 @@ def _forest(fp: np.ndarray, first: np.ndarray, last: np.ndarray, max_bits: int,
 
 
 def _links(max_bits: int, most: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_())])
+    schema = pa.schema([("part", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_())])
     refs = [np.array(r, np.uint64) for r in references(max_bits)]
     masks = np.array([((1 << w) - 1) << a for a, w in _layout(max_bits)], np.uint64)
 
     def run(batches):
-        key, fp, hot = np.zeros(0, np.int64), np.zeros(0, np.uint64), None  # the last bucket so far; hot: it is over the bound
+        key, part, fp, hot = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64), None  # the last bucket so far; hot: it is over the bound
 
-        def settle(key, fp, closed):
+        def settle(key, part, fp, closed):
             nonlocal hot
             edge = np.flatnonzero(np.diff(key)) + 1
             first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
@@ -133,28 +144,30 @@ def _links(max_bits: int, most: int):
             shut[-1] = closed
             if many[-1] and not closed:  # given out at once: memory stays bounded
                 hot, shut[-1] = key[-1], True
-            hots = np.concatenate([fp[a:b] for a, b in zip(first[many], last[many])]) if many.any() else fp[:0]
+            at = np.concatenate([np.arange(a, b) for a, b in zip(first[many], last[many])]) if many.any() else np.zeros(0, np.int64)
             use = shut & ~many & (last - first > 1)
             pairs = np.array(_forest(fp, first[use], last[use], max_bits, refs, masks), np.int64).reshape(-1, 2)
             a, b = fp[pairs[:, 0]].view(np.int64), fp[pairs[:, 1]].view(np.int64)
-            rows = batch(schema, np.concatenate([a, hots.view(np.int64)]), np.concatenate([b, hots.view(np.int64)]), np.arange(len(a) + len(hots)) >= len(a))
+            hots = fp[at].view(np.int64)
+            rows = batch(schema, np.concatenate([part[pairs[:, 0]], part[at]]), np.concatenate([a, hots]), np.concatenate([b, hots]), np.arange(len(a) + len(hots)) >= len(a))
             keep = last[-1] if shut[-1] else first[-1]
-            return key[keep:], fp[keep:], rows
+            return key[keep:], part[keep:], fp[keep:], rows
 
         for b in batches:
             key = np.concatenate([key, b.column("bucket").to_numpy()])
+            part = np.concatenate([part, b.column("part").to_numpy()])
             fp = np.concatenate([fp, b.column("fp").to_numpy().view(np.uint64)])
             if len(key):
-                key, fp, rows = settle(key, fp, False)
+                key, part, fp, rows = settle(key, part, fp, False)
                 yield rows
         if len(key):
-            yield settle(key, fp, True)[2]
+            yield settle(key, part, fp, True)[3]
 
     return run
 
 
 def link_fingerprints(distinct: DataFrame, max_bits: int = 4, most: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
-    """(a, b): links that connect exactly the fingerprints ``fp`` (distinct, long) within ``max_bits`` bits."""
+    """(part, a, b): links that connect exactly the fingerprints ``fp`` of a ``part`` (distinct, int and long) within ``max_bits`` bits."""
     scratch = scratch or Scratch(distinct.sparkSession, "simhash")
     keys = []
     for (first, width), block in zip(_layout(max_bits), references(max_bits)):
@@ -162,39 +175,91 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 4, most: int = BUCKET
         signed = lambda v: v - (1 << 64) if v >> 63 else v
         near = [F.shiftleft(F.bit_count((F.col("fp").bitwiseXOR(F.lit(signed(r)))).bitwiseAND(F.lit(signed(mask)))).cast("long"), 5 * i) for i, r in enumerate(block)]
         keys.append(sum(near[1:], near[0]))
-    tables = [F.xxhash64(F.lit(t), F.col(f"k{i}"), F.col(f"k{j}")) for t, (i, j) in enumerate(combinations(range(len(keys)), 2))]
-    coded = distinct.select("fp", *(k.alias(f"k{i}") for i, k in enumerate(keys)))
-    dealt = coded.select("fp", F.explode(F.array(*tables)).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket")
-    found = scratch.save(dealt.mapInArrow(_links(max_bits, most), "a bigint, b bigint, hot boolean").distinct(), "found")
-    hot = found.where("hot").select(F.col("a").alias("fp")).distinct()
+    tables = [F.xxhash64(F.col("part"), F.lit(t), F.col(f"k{i}"), F.col(f"k{j}")) for t, (i, j) in enumerate(combinations(range(len(keys)), 2))]
+    coded = distinct.select("part", "fp", *(k.alias(f"k{i}") for i, k in enumerate(keys)))
+    dealt = coded.select("part", "fp", F.explode(F.array(*tables)).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket")
+    found = scratch.save(dealt.mapInArrow(_links(max_bits, most), "part int, a bigint, b bigint, hot boolean").distinct(), "found")
+    hot = found.where("hot").select("part", F.col("a").alias("fp")).distinct()
     bits = [1 << i for i in range(64)]
     flips = [0, *bits, *(a | b for a, b in combinations(bits, 2))] if max_bits > 2 else [0, *bits]
     if max_bits > 4:
         raise ValueError("max_bits is 4 at most")
-    ball = hot.select("fp", F.explode(F.transform(F.array(*(F.lit(v - (1 << 64) if v >> 63 else v) for v in flips)), lambda m: m.bitwiseXOR(F.col("fp")))).alias("point")) if not hot.isEmpty() else None
-    links = found.where("not hot").select("a", "b")
+    ball = hot.select("part", "fp", F.explode(F.transform(F.array(*(F.lit(v - (1 << 64) if v >> 63 else v) for v in flips)), lambda m: m.bitwiseXOR(F.col("fp")))).alias("point")) if not hot.isEmpty() else None
+    links = found.where("not hot").select("part", "a", "b")
     if ball is None:
         return links
-    groups = ball.groupBy("point").agg(F.sort_array(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
-    near = groups.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, len(flips))).alias("b"))
+    groups = ball.groupBy("part", "point").agg(F.sort_array(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
+    near = groups.select("part", F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, len(flips))).alias("b"))
     return links.union(near.distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, most: int = BUCKET, rid_col: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, most: int = BUCKET) -> DataFrame:
     """(rid, doc_id, fingerprint, component_id, keep) for each row of ``docs``.
 
     component_id is the smallest id reachable over links; ``keep`` marks one row of each component (smallest id,
     then row). Null text is empty; texts without words have fingerprint zero and link like any other. A row with a
     null id gets its component's smallest id, null if no row there has one. Repeated rows are each returned. An
-    empty table gives an empty result; other columns are ignored. ``rid_col`` names row ids that are there already.
+    empty table gives an empty result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    columns = [F.col(id_col).alias("doc_id"), as_binary(F.col(text_col)).alias("raw")]
-    rows = docs.select(*columns, F.col(rid_col).alias("rid")) if rid_col else with_rid(docs, scratch, columns)
+    rows = with_rid(docs, scratch, [F.col(id_col).alias("doc_id"), as_binary(F.col(text_col)).alias("raw")])
     prints = scratch.save(fingerprints(rows, words), "prints")
     each = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
-    comp = components(link_fingerprints(each.select("fp"), max_bits, most, scratch), scratch)
+    comp = components(link_fingerprints(each.select(F.lit(0).alias("part"), "fp"), max_bits, most, scratch), scratch)
     placed = scratch.save(each.join(comp, each.fp == comp.node, "left").select("fp", "low", "best", F.coalesce("component", "fp").alias("c")), "placed")
     best = placed.groupBy("c").agg(F.min("low").alias("component_id"), F.min("best").alias("best"))
     named = placed.select("fp", "c").join(best, "c").select("fp", "component_id", F.col("best.rid").alias("first"))
     return prints.join(named, "fp").select("rid", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("rid") == F.col("first")).alias("keep"))
+
+
+#: Fewest shingles in a part, and most parts (a power of two), of `similar_documents`.
+PART, PARTS = 12, 8
+
+
+def part_fingerprints(raw: bytes, words: int) -> list[tuple[int, int]]:
+    """(part, fingerprint) of a text's parts: by their hashes its shingles fall into as many equal parts as leave
+    PART in each, PARTS at most, and into half as many, for partners on the other side of that border. Part numbers
+    begin with the number of parts. A text without words has the one part (1, 0)."""
+    h = np.sort(shingles(raw, words))
+    n = 1
+    while n < PARTS and len(h) >= 2 * n * PART:
+        n *= 2
+    out = []
+    for k in {n, max(1, n // 2)}:
+        dealt = (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 3)).astype(np.int64) * k // 8
+        found = [(k + j, majority(h[dealt == j])) for j in range(k) if k == 1 or (dealt == j).any()]
+        out += found
+    return out
+
+
+def similar_documents(docs: DataFrame, rid_col: str, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 4, most: int = BUCKET) -> DataFrame:
+    """(rid, keep): one row of each group of documents of a shingle similarity of about 0.8 or more is kept.
+
+    One fingerprint of 64 bits cannot tell a similarity of 0.8, which changes ten bits, from chance among many
+    documents. So a document's shingles are dealt by their hashes into parts with a fingerprint each, and documents
+    are linked where any part's fingerprints differ in ``max_bits`` bits or fewer. A similarity of 0.9 leaves some
+    part nearly unchanged almost always, 0.8 mostly, and 0.5 hardly ever. The row kept has the smallest id, then row
+    id; null ids come last; null text is empty; texts without words are copies of each other.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    rows = docs.select(F.col(rid_col).alias("rid"), F.col(id_col).alias("doc_id"), as_binary(F.col(text_col)).alias("raw"))
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def run(batches):
+        for b in batches:
+            found = [part_fingerprints(x, words) for x in b.column("raw").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            part, fp = np.array([x for f in found for x in f], object).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([b.column("rid").take(at), b.column("doc_id").take(at), pa.array(part.astype(np.int32)), pa.array(fp.astype(np.uint64).view(np.int64))], names=["rid", "doc_id", "part", "fp"])
+
+    prints = scratch.save(rows.mapInArrow(run, f"rid bigint, doc_id {kind}, part int, fp bigint"), "prints")
+    distinct = scratch.save(prints.groupBy("part", "fp").agg(F.count("*").alias("n")), "distinct")
+    links = scratch.save(link_fingerprints(distinct.select("part", "fp"), max_bits, most, scratch), "links")
+    node = lambda fp: F.xxhash64("part", fp)
+    linked = links.select("part", F.col("a").alias("fp")).union(links.select("part", F.col("b").alias("fp"))).union(distinct.where("n > 1").select("part", "fp")).distinct()
+    member = prints.join(linked, ["part", "fp"]).select(F.xxhash64(F.lit(-1), "rid").alias("a"), node("fp").alias("b"))
+    comp = components(member.union(links.select(node("a"), node("b"))), scratch)
+    each = prints.select("rid", "doc_id").distinct().withColumn("node", F.xxhash64(F.lit(-1), "rid"))
+    placed = each.join(comp, "node", "left").select("rid", F.coalesce("component", "node").alias("c"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("best"))
+    best = placed.groupBy("c").agg(F.min("best").alias("first"))
+    return placed.join(best, "c").select("rid", (F.col("rid") == F.col("first.rid")).alias("keep"))

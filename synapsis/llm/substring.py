@@ -99,8 +99,8 @@ def _pack(low, offset, span):
     return (low << 24) | (offset << 12) | span
 
 
-ROWS = pa.schema([("key", pa.int64()), ("cover", pa.int64()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("place", pa.int64())])
-ROWS_SQL = "key bigint, cover bigint, doc_id bigint, rid bigint, place bigint"
+ROWS = pa.schema([("key", pa.int64()), ("cover", pa.int64()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("place", pa.int64()), ("settled", pa.bool_())])
+ROWS_SQL = "key bigint, cover bigint, doc_id bigint, rid bigint, place bigint, settled boolean"
 
 
 def _first_round(at: Search):
@@ -115,18 +115,35 @@ def _first_round(at: Search):
                     ends = (low + span + at.length) * wide
                     cover = np.array([digest(buf[x:y]) for x, y in zip((low * wide).tolist(), ends.tolist())], np.uint64)
                     out.append((h, cover ^ mix((offset << 12) | span), doc, rid, _pack(low, offset, span)))
-            yield _rows(out)
+            yield _rows(out, at.first_stays)
 
     return run
 
 
-def _rows(out: list) -> pa.RecordBatch:
+def _rows(out: list, first_stays: bool) -> pa.RecordBatch:
+    """Rows of a batch of documents, equal (key, cover) folded before the shuffle.
+
+    The first of them stands for the rest, which are settled: their windows repeat. They leave under keys of their
+    own, so that a passage in very many documents, or a character in very many places, comes to one task once a batch.
+    """
     if not out:
         return batch(ROWS, *([] for _ in ROWS))
     sizes = [len(x[0]) for x in out]
+    spread = lambda v: np.repeat(np.array(v, np.int64), sizes)
+    key, cover, place = (np.concatenate([x[i] for x in out]) for i in (0, 1, 4))
+    rid = spread([x[3] for x in out])
+    doc = spread([(1 << 63) - 1 if x[2] is None else x[2] for x in out])
+    order = np.lexsort((place, rid, doc, cover, key))
+    same = np.concatenate([[False], (np.diff(key[order]) == 0) & (np.diff(cover[order]) == 0)])
+    later = np.zeros(len(key), bool)
+    later[order] = same
+    settled = later.copy()
+    if not first_stays:
+        settled[order[:-1]] |= same[1:]
+    with np.errstate(over="ignore"):
+        key[later] = mix(rid[later].view(np.uint64) * np.uint64(PRIME) + place[later].view(np.uint64))
     ids = pa.array([x[2] for x in out], pa.int64()).take(pa.array(np.repeat(np.arange(len(out)), sizes)))
-    join = lambda i: np.concatenate([x[i] for x in out])
-    return batch(ROWS, join(0).view(np.int64), join(1).view(np.int64), ids, np.repeat(np.array([x[3] for x in out], np.int64), sizes), join(4))
+    return batch(ROWS, key.view(np.int64), cover.view(np.int64), ids, rid, place, settled)
 
 
 def _later_round(at: Search, size: int):
@@ -152,7 +169,7 @@ def _later_round(at: Search, size: int):
                         place.append(_pack(p - far, far, far - near))
                 if key:
                     out.append((np.array(key, np.uint64), np.array(cover, np.uint64), doc, rid, np.array(place, np.int64)))
-            yield _rows(out)
+            yield _rows(out, at.first_stays)
 
     return run
 
@@ -163,8 +180,10 @@ def _ranked(rows: DataFrame, at: Search) -> DataFrame:
     group = Window.partitionBy("key")
     before = F.coalesce(F.lag("cover").over(order) == F.col("cover"), F.lit(False))
     after = F.coalesce(F.lead("cover").over(order) == F.col("cover"), F.lit(False))
-    seen = rows.select("rid", "place", before.alias("before"), after.alias("after"), (F.min("cover").over(group) != F.max("cover").over(group)).alias("mixed"))
-    repeats = F.col("before") if at.first_stays else F.col("before") | F.col("after")
+    seen = rows.select("rid", "place", before.alias("before"), after.alias("after"), (F.min("cover").over(group) != F.max("cover").over(group)).alias("mixed"), "settled")
+    repeats = F.col("settled") | F.col("before")
+    if not at.first_stays:
+        repeats = repeats | F.col("after")
     return seen.select("rid", "place", repeats.alias("repeats"), (F.col("mixed") & ~F.col("before")).alias("open")).where("repeats or open")
 
 
