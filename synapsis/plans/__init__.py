@@ -1 +1 @@
-
+"""How steps of a plan are put together and stored."""
