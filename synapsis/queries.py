@@ -547,7 +547,7 @@ def grid_expression(spark, d):
     return rounded(spatial.grid_expression(adapter.spot_expression(spark, d), adapter.coords(spark, d), 0.1), "value")
 
 
-@query("SELECT source, target, round(dist, 6) AS dist FROM (SELECT a.group_name AS source, b.group_name AS target, quantile_cont(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 0.5) AS dist FROM at a JOIN at b ON a.group_name <> b.group_name GROUP BY 1, 2 UNION ALL SELECT DISTINCT group_name, group_name, 0 FROM spots)", *SPACE, "at AS (SELECT * FROM coords JOIN spots USING (cell_id))")
+@query("SELECT source, target, round(dist, 6) AS dist FROM (SELECT a.group_name AS source, b.group_name AS target, quantile_cont(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 0.5) AS dist FROM here a JOIN here b ON a.group_name <> b.group_name GROUP BY 1, 2 UNION ALL SELECT DISTINCT group_name, group_name, 0 FROM spots)", *SPACE, "here AS (SELECT * FROM coords JOIN spots USING (cell_id))")
 def region_distance(spark, d):
     return rounded(spatial.region_distance(adapter.coords(spark, d), adapter.spots(spark, d)), "dist")
 
