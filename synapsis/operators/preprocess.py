@@ -1,10 +1,10 @@
 """Normalisation, scaling, and genes that groups over-express."""
 
-from __future__ import annotations
+from math import erfc
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import log_normalized
@@ -50,12 +50,13 @@ def adjust_bh(tests: DataFrame, p: str = "p", out: str = "p_adj") -> DataFrame:
     return tests.join(ranked.select(p, adjusted.alias(out)), p)
 
 
-@F.pandas_udf("double")
-def two_sided(z: pd.Series) -> pd.Series:
-    """Two-sided p of a normal deviate."""
-    from math import erfc
+def two_sided(z: str) -> Column:
+    """Two-sided p of a normal deviate; SQL has no error function, so an Arrow batch at a time."""
 
-    return pd.Series(np.fromiter((erfc(abs(x) / 2**0.5) for x in z), float, len(z)))
+    def of(values: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((erfc(abs(x) / 2**0.5) for x in values), float, len(values)))
+
+    return F.pandas_udf(of, "double")(z)
 
 
 def over_expressed(expression: DataFrame, cells: DataFrame, genes: DataFrame, thresh_p: float = 0.05, thresh_pct: float = 0.0, thresh_fc: float = 0.0, min_cells: int = 10) -> DataFrame:
@@ -67,9 +68,9 @@ def over_expressed(expression: DataFrame, cells: DataFrame, genes: DataFrame, th
     rows = zero_inflated(expression, cells, genes)
     each = rows.groupBy("gene", "group_name").agg(F.sum(F.col("value") * F.col("freq")).alias("s"), F.sum(F.when(F.col("value") > 0, F.col("freq")).otherwise(0)).alias("k"), F.sum("freq").alias("n1"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     w = Window.partitionBy("gene")
-    each = each.withColumn("S", F.sum("s").over(w)).withColumn("K", F.sum("k").over(w)).withColumn("N", F.sum("n1").over(w)).withColumn("spread", F.min("lo").over(w) < F.max("hi").over(w))
-    n2 = F.greatest(F.col("N") - F.col("n1"), F.lit(1))
-    stats = each.where((F.col("n1") >= min_cells) & F.col("spread")).select("gene", "group_name", (F.col("s") / F.col("n1") - (F.col("S") - F.col("s")) / n2).alias("logfc"), (100.0 * F.col("k") / F.col("n1")).alias("pct_1"), (100.0 * (F.col("K") - F.col("k")) / n2).alias("pct_2"))
+    each = each.withColumn("s_all", F.sum("s").over(w)).withColumn("k_all", F.sum("k").over(w)).withColumn("n_all", F.sum("n1").over(w)).withColumn("spread", F.min("lo").over(w) < F.max("hi").over(w))
+    n2 = F.greatest(F.col("n_all") - F.col("n1"), F.lit(1))
+    stats = each.where((F.col("n1") >= min_cells) & F.col("spread")).select("gene", "group_name", (F.col("s") / F.col("n1") - (F.col("s_all") - F.col("s")) / n2).alias("logfc"), (100.0 * F.col("k") / F.col("n1")).alias("pct_1"), (100.0 * (F.col("k_all") - F.col("k")) / n2).alias("pct_2"))
     tests = stats.join(rank_sums(expression, cells, genes).select("gene", "group_name", "z"), ["gene", "group_name"]).withColumn("pval", two_sided("z"))
     out = adjust_bh(tests, "pval", "p_val_adj")
     kept = out.where((F.col("pval") < thresh_p) & (F.col("logfc") > 0) & (F.abs("logfc") >= thresh_fc) & (F.greatest("pct_1", "pct_2") > thresh_pct * 100))
