@@ -6,10 +6,17 @@ Both are windows of ``length`` units (words or bytes) and share one search, `rep
   anchors at equal offsets. About 2 / (length - k + 2) of the positions are anchors. Rows (rank of the anchor's
   k-gram, rank of all bytes its windows cover, position) are sorted by Spark; an anchor with a unique rank leaves.
   Equal ranks of the whole cover mean that all its windows repeat: only the first of them goes on.
+* Words only: the fixed-block index. In the stretches that are left, the non-overlapping blocks of half a window (at
+  the document's multiples of ten words) are indexed, and every rolling window of that many words probes them. Any
+  20 words hold a whole block of their own document, so an equal passage elsewhere has a probe that hits it; windows
+  without a hit leave. The hits of a document are then extended by the last round to the windows around them, whose
+  union is the maximal exact repeats.
 * Later rounds grow the compared length towards the full window. The windows of an anchor are dealt into bins of a
   fixed number of offsets; the row has the rank of what all windows of the bin have in common and the rank of what
-  they cover together. Unique ranks leave, equal covers are settled, one of each goes on. A bin of one offset is the
-  window itself, past which nothing needs reranking.
+  they cover together. Unique ranks leave, equal covers are settled, one of each goes on. In the last round a bin
+  is the window itself, sorted by its rank pair at half the length: (rank of the half at i, rank of the half at
+  i + length / 2), past which nothing needs reranking. Ranks are 64-bit hashes of what they stand for, so a pair
+  needs no look-up of its second rank.
 
 Every round is one distributed sort of (rank, rank, position) rows with its neighbours compared by window functions,
 so groups of any size stream and spill. No pair of documents is ever formed: near copies meet only where they differ.
@@ -17,6 +24,7 @@ so groups of any size stream and spill. No pair of documents is ever formed: nea
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from typing import NamedTuple
 
 import numpy as np
@@ -39,10 +47,11 @@ class Search(NamedTuple):
     bins: tuple[int, ...]
     words: bool
     first_stays: bool  # windows count as repeated after their first place only
+    block: bool  # whether a fixed-block index narrows the last round
 
 
-WORDS = Search(20, 4, (1,), True, True)
-BYTES = Search(200, 32, (16, 1), False, False)
+WORDS = Search(20, 4, (1,), True, True, True)
+BYTES = Search(200, 32, (16, 1), False, False, False)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -148,21 +157,24 @@ def _rows(out: list, first_stays: bool) -> pa.RecordBatch:
 
 def _later_round(at: Search, size: int):
     def run(batches):
-        digest, wide_digest = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
+        digest, half = xxhash.xxh3_64_intdigest, at.length // 2
         for b in batches:
             out = []
-            for doc, rid, raw, places in zip(*(b.column(c).to_pylist() for c in ("doc_id", "rid", "raw", "places"))):
+            for doc, rid, raw, places, hits in zip(*(b.column(c).to_pylist() for c in ("doc_id", "rid", "raw", "places", "hits"))):
                 _, buf, wide = units(raw, at.words)
                 key, cover, place = [], [], []
+                hits = None if hits is None else sorted(hits)
                 for x in places:
                     low, offset, span = x >> 24, (x >> 12) & 4095, x & 4095
                     p = low + offset
                     for k in range((offset - span) // size, offset // size + 1):
                         near, far = max(offset - span, k * size), min(offset, k * size + size - 1)
                         if size == 1:
-                            whole = wide_digest(buf[(p - k) * wide : (p - k + at.length) * wide])
-                            key.append(whole >> 64)
-                            cover.append(whole & ((1 << 64) - 1))
+                            s = p - k
+                            if hits is not None and ((h := bisect_left(hits, s)) == len(hits) or hits[h] > s + at.length - half):
+                                continue
+                            key.append(digest(buf[s * wide : (s + half) * wide]))
+                            cover.append(digest(buf[(s + half) * wide : (s + at.length) * wide]))
                         else:
                             key.append(digest(buf[(p - k * size) * wide : (p - k * size - size + 1 + at.length) * wide], k))
                             cover.append(digest(buf[(p - far) * wide : (p - near + at.length) * wide], (near << 12) | far))
@@ -174,6 +186,38 @@ def _later_round(at: Search, size: int):
     return run
 
 
+PROBES = pa.schema([("block", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("fixed", pa.bool_())])
+
+
+def _probes(at: Search):
+    """Every rolling block of the open stretches; ``fixed``: it is one of the document's non-overlapping blocks, the index."""
+
+    def run(batches):
+        size = at.length // 2
+        for b in batches:
+            out = []
+            for rid, raw, places in zip(*(b.column(c).to_pylist() for c in ("rid", "raw", "places"))):
+                values, buf, wide = units(raw, at.words)
+                here = np.zeros(len(values) + 1, bool)
+                for x in places:
+                    low, span = x >> 24, x & 4095
+                    here[low : low + span + at.length - size + 1] = True
+                where = np.flatnonzero(here)
+                block = [xxhash.xxh3_64_intdigest(buf[p * wide : (p + size) * wide]) for p in where.tolist()]
+                out.append((np.array(block, np.uint64).view(np.int64), np.full(len(where), rid), where))
+            block, rid, where = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))
+            yield batch(PROBES, block, rid, where, where % size == 0)
+
+    return run
+
+
+def _hits(rows: DataFrame) -> DataFrame:
+    """(rid, hits): positions whose block is in the index and also somewhere else."""
+    same = Window.partitionBy("block")
+    found = rows.withColumn("indexed", F.max("fixed").over(same)).withColumn("n", F.count("*").over(same)).where("indexed and n > 1")
+    return found.groupBy("rid").agg(F.collect_list("at").alias("hits"))
+
+
 def _ranked(rows: DataFrame, at: Search) -> DataFrame:
     """(rid, place, repeats, open): repeats - all its windows are repeated; open - its group holds different covers and it is the first of its own."""
     order = Window.partitionBy("key").orderBy("cover", "doc_id", "rid", "place") if at.first_stays else Window.partitionBy("key").orderBy("cover")
@@ -206,7 +250,14 @@ def repeated(corpus: Corpus, at: Search, scratch: Scratch) -> DataFrame:
     scratch.release()
     for k, size in enumerate(at.bins, 1):
         todo = found.where("open").groupBy("rid").agg(F.collect_list("place").alias("places"))
-        rows = corpus.rows.join(todo, "rid").select("doc_id", "rid", "raw", "places").mapInArrow(_later_round(at, size), ROWS_SQL)
+        if at.block and size == 1:
+            stretches = corpus.rows.join(todo, "rid").select("rid", "raw", "places")
+            hits = scratch.save(_hits(stretches.mapInArrow(_probes(at), "block bigint, rid bigint, at bigint, fixed boolean")), "hits")
+            scratch.release()
+            todo = todo.join(hits, "rid")
+        else:
+            todo = todo.withColumn("hits", F.lit(None).cast("array<bigint>"))
+        rows = corpus.rows.join(todo, "rid").select("doc_id", "rid", "raw", "places", "hits").mapInArrow(_later_round(at, size), ROWS_SQL)
         found = scratch.save(_ranked(rows, at), f"round-{k}")
         parts.append(found)
         scratch.release()
