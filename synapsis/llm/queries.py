@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, mixing, mpeg, quality, secrets, simhash, substring, token_counts, warc
+from . import bpe, mixing, mpeg, oracle, quality, secrets, simhash, substring, token_counts, warc
 
 
 TOKEN_LIMIT = 4096
@@ -52,7 +52,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition counts and verdict of every document."""
     out = quality.repetition(_table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_chars", "dup_ngram_chars")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_chars")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,4 @@ QUERIES = {
         op6_quality_rules, op7_token_counts, op8_bpe_round_trip, op9_secret_scans, op10_source_mixing,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracle.ORACLE_SQL

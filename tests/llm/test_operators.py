@@ -459,3 +459,17 @@ def test_mixing(spark):
 def test_queries_run(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
     assert df.count() == spark.read.parquet(f"{sf}/{'pages' if name.startswith('op3') else 'documents'}.parquet").count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_oracles(spark, sf, name):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = c.sql(queries.ORACLE_SQL[name]).df()
+    got = queries.QUERIES[name](spark, sf).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    columns = sorted(got.columns)
+    a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
+    assert (a == b).all().all()
