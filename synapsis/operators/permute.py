@@ -17,16 +17,30 @@ from .model import lr_expression, population_shares, probability
 OBSERVED, DIGITS = -1, 12
 
 
+def ranked(df: DataFrame, keys: list[str], code) -> DataFrame:
+    """``df`` with ``rank``, from 1 within ``keys`` by the hex digest ``code``, then cell_id.
+
+    Counts of the digest's 4,096 ranges are added up first, then rows are numbered within their range: no task sorts
+    more than a range.
+    """
+    coded = df.withColumn("__code", code).withColumn("__range", F.substring("__code", 1, 3))
+    sums = coded.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    start = sums.select(*keys, "__range", F.coalesce(before, F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy("__code", "cell_id"))
+    return coded.withColumn("__k", within).join(start, [*keys, "__range"]).withColumn("rank", F.col("__start") + F.col("__k")).drop("__code", "__range", "__n", "__k", "__start")
+
+
 def permuted_labels(cells: DataFrame, nboot: int, seed: int = 1, observed: bool = False) -> DataFrame:
-    """(perm, cell_id, group_name): in each permutation the labels, in the order of cells, go to the cells in the order of their md5.
+    """(perm, cell_id, group_name): the labels in one fixed order go to the cells in each permutation's order of md5(seed|perm|cell).
 
-    Group sizes stay. A permutation is one task's sort of ids; permutations are dealt over the cluster.
+    Group sizes stay. The fixed order is that of md5(seed|base|cell).
     """
     known = cells.where("group_name is not null").select("cell_id", "group_name")
-    labels = known.select(F.row_number().over(Window.orderBy("cell_id")).alias("rank"), "group_name")
+    digest = lambda part: F.md5(F.concat_ws("|", F.lit(str(seed)), part, F.col("cell_id").cast("string")))
+    labels = ranked(known, [], digest(F.lit("base"))).select("rank", "group_name")
     perms = cells.sparkSession.range(nboot).select(F.col("id").cast("int").alias("perm"))
-    order = Window.partitionBy("perm").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col("cell_id").cast("string"))), "cell_id")
-    shuffled = known.select("cell_id").join(perms).select("perm", "cell_id", F.row_number().over(order).alias("rank"))
+    shuffled = ranked(known.select("cell_id").join(perms), ["perm"], digest(F.col("perm").cast("string")))
     out = shuffled.join(labels, "rank").select("perm", "cell_id", "group_name")
     return out.unionByName(known.select(F.lit(OBSERVED).alias("perm"), "cell_id", "group_name")) if observed else out
 
@@ -50,9 +64,10 @@ def sorted_gene_kernel(expression: DataFrame, cells: DataFrame, genes: DataFrame
     ids = labels.cell_id.to_numpy()
     table = np.empty((p.nboot + 1, len(ids)), np.int16)
     table[0] = codes
+    shuffled = lambda part: sorted(range(len(ids)), key=lambda i: (hashlib.md5(f"{p.seed}|{part}|{ids[i]}".encode()).hexdigest(), ids[i]))
+    base = codes[shuffled("base")] if len(ids) else codes
     for k in range(p.nboot):
-        order = sorted(range(len(ids)), key=lambda i: (hashlib.md5(f"{p.seed}|{k}|{ids[i]}".encode()).hexdigest(), ids[i]))
-        table[k + 1, order] = codes
+        table[k + 1, shuffled(k)] = base
     sizes = np.bincount(codes, minlength=len(names))
     shared = expression.sparkSession.sparkContext.broadcast((ids, table))
     quantiles = (0.25, 0.5, 0.75) if p.mean_method.value == "triMean" else (0.5,)

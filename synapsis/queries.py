@@ -514,7 +514,7 @@ def cell_to_group(spark, d):
 @query(
     "SELECT source, target, lr_id, round(prob, 6) AS prob, round(pval, 6) AS pval FROM (SELECT o.source, o.target, o.lr_id, o.prob, count(*) FILTER (round(coalesce(s.prob, 0), 9) >= round(o.prob, 9)) / 5.0::DOUBLE AS pval FROM sums o CROSS JOIN range(5) r(perm) LEFT JOIN sums s ON s.perm = r.perm AND s.source = o.source AND s.target = o.target AND s.lr_id = o.lr_id WHERE o.perm = -1 GROUP BY 1, 2, 3, 4)",
     *SPACE,
-    "spot_labels AS (SELECT -1 AS perm, cell_id, group_name FROM spots UNION ALL SELECT perm, cell_id, group_name FROM (SELECT p.perm, s.cell_id, row_number() OVER (PARTITION BY p.perm ORDER BY md5('1|' || p.perm || '|' || s.cell_id), s.cell_id) AS r FROM range(5) p(perm) CROSS JOIN spots s) JOIN (SELECT group_name, row_number() OVER (ORDER BY cell_id) AS r FROM spots) USING (r))",
+    "spot_labels AS (SELECT -1 AS perm, cell_id, group_name FROM spots UNION ALL SELECT perm, cell_id, group_name FROM (SELECT p.perm, s.cell_id, row_number() OVER (PARTITION BY p.perm ORDER BY md5('1|' || p.perm || '|' || s.cell_id), s.cell_id) AS r FROM range(5) p(perm) CROSS JOIN spots s) JOIN (SELECT group_name, row_number() OVER (ORDER BY md5('1|base|' || cell_id), cell_id) AS r FROM spots) USING (r))",
     "sums AS (SELECT a.perm, a.group_name AS source, b.group_name AS target, lr_id, sum(prob) AS prob FROM prob_cell c JOIN spot_labels a ON a.cell_id = c.src JOIN spot_labels b ON b.cell_id = c.dst AND b.perm = a.perm GROUP BY 1, 2, 3, 4)",
 )
 def avg_commun_prob(spark, d):
@@ -555,7 +555,7 @@ def region_distance(spark, d):
 @query(
     "SELECT o.source, o.target, o.n, round(count(*) FILTER (coalesce(s.n, 0) >= o.n) / 5.0::DOUBLE, 6) AS pval FROM counts o CROSS JOIN range(5) r(perm) LEFT JOIN counts s ON s.perm = r.perm AND s.source = o.source AND s.target = o.target WHERE o.perm = -1 GROUP BY 1, 2, 3",
     *SPACE,
-    "spot_labels AS (SELECT -1 AS perm, cell_id, group_name FROM spots UNION ALL SELECT perm, cell_id, group_name FROM (SELECT p.perm, s.cell_id, row_number() OVER (PARTITION BY p.perm ORDER BY md5('1|' || p.perm || '|' || s.cell_id), s.cell_id) AS r FROM range(5) p(perm) CROSS JOIN spots s) JOIN (SELECT group_name, row_number() OVER (ORDER BY cell_id) AS r FROM spots) USING (r))",
+    "spot_labels AS (SELECT -1 AS perm, cell_id, group_name FROM spots UNION ALL SELECT perm, cell_id, group_name FROM (SELECT p.perm, s.cell_id, row_number() OVER (PARTITION BY p.perm ORDER BY md5('1|' || p.perm || '|' || s.cell_id), s.cell_id) AS r FROM range(5) p(perm) CROSS JOIN spots s) JOIN (SELECT group_name, row_number() OVER (ORDER BY md5('1|base|' || cell_id), cell_id) AS r FROM spots) USING (r))",
     "counts AS (SELECT x.perm, x.group_name AS source, y.group_name AS target, count(*) AS n FROM (SELECT a.cell_id AS src, b.cell_id AS dst FROM coords a JOIN coords b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.05::DOUBLE * 0.05::DOUBLE) JOIN spot_labels x ON x.cell_id = src JOIN spot_labels y ON y.cell_id = dst AND y.perm = x.perm GROUP BY 1, 2, 3)",
 )
 def colocalization(spark, d):

@@ -35,7 +35,7 @@ def dense_aggregate(of: str) -> str:
 
 def AVGS(nboot: int, mean: str = TRI) -> tuple[str, ...]:
     """labels (perm -1: as observed) and avgs by permutation, gene and group."""
-    shuffled = f" UNION ALL SELECT perm, cell_id, group_name FROM (SELECT p.perm, cell_id, row_number() OVER (PARTITION BY p.perm ORDER BY md5('1|' || p.perm || '|' || cell_id), cell_id) AS r FROM range({nboot}) p(perm) CROSS JOIN cells) JOIN (SELECT group_name, row_number() OVER (ORDER BY cell_id) AS r FROM cells) USING (r)"
+    shuffled = f" UNION ALL SELECT perm, cell_id, group_name FROM (SELECT p.perm, cell_id, row_number() OVER (PARTITION BY p.perm ORDER BY md5('1|' || p.perm || '|' || cell_id), cell_id) AS r FROM range({nboot}) p(perm) CROSS JOIN cells) JOIN (SELECT group_name, row_number() OVER (ORDER BY md5('1|base|' || cell_id), cell_id) AS r FROM cells) USING (r)"
     return (
         *BASE,
         "labels AS (SELECT perm::INTEGER AS perm, cell_id, group_name FROM (SELECT -1 AS perm, cell_id, group_name FROM cells" + (shuffled if nboot else "") + "))",
