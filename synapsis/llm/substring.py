@@ -24,6 +24,8 @@ so groups of any size stream and spill. No pair of documents is ever formed: nea
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 from bisect import bisect_left
 from typing import NamedTuple
 
@@ -240,6 +242,11 @@ class Corpus:
         rows = docs.select(F.col(id_col).alias("doc_id"), as_binary(F.col(text_col)).alias("raw"), F.monotonically_increasing_id().alias("rid"))
         (rows.repartition(self.n, "rid").write.bucketBy(self.n, "rid").sortBy("rid").option("path", f"{scratch.root}/docs").saveAsTable(self.name))
         self.rows = spark.table(self.name)
+        atexit.register(self._forget, spark)
+
+    def _forget(self, spark) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended first
+            spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def repeated(corpus: Corpus, at: Search, scratch: Scratch) -> DataFrame:

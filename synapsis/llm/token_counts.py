@@ -11,6 +11,7 @@ a shuffled join on the pre-token.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from functools import lru_cache
 
@@ -68,7 +69,7 @@ def pieces(path: str, keys: list[str]) -> list[int]:
     return [1 if not k else len(x) - (k[0] == "\n") for k, x in zip(keys, ids)]
 
 
-_heads: dict[int, dict[str, int]] = {}
+_heads: dict[str, dict[str, int]] = {}
 
 
 def _head(shared) -> dict[str, int]:
@@ -87,7 +88,7 @@ class _Shared:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
-        self.id, self.inner = id(table) ^ table.num_rows, spark.sparkContext.broadcast((0, sink.getvalue().to_pybytes()))
+        self.id, self.inner = uuid.uuid4().hex, spark.sparkContext.broadcast((0, sink.getvalue().to_pybytes()))
 
     @property
     def value(self):
