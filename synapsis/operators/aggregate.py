@@ -23,7 +23,8 @@ def group_counts(cells: DataFrame) -> DataFrame:
 def zero_inflated(expression: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
     """(keys.., gene, group_name, value, freq): the values there are, and one row for all zeros of a gene in a group."""
     keys = [*extra_keys(cells), "gene", "group_name"]
-    there = expression.join(cells.where("group_name is not null"), "cell_id").select(*keys, "value", F.lit(1).cast("bigint").alias("freq"))
+    # both branches below filter by value, so that Spark reuses the exchange under an expression that is itself a sum
+    there = expression.where("value != 0").join(cells.where("group_name is not null"), "cell_id").select(*keys, "value", F.lit(1).cast("bigint").alias("freq"))
     sizes = group_counts(cells)
     # sizes at zero, less the values there are: one partial aggregation instead of a join with counts of its own
     grid = genes.select("gene").distinct().join(sizes).select(*keys, F.col("n").alias("freq"))
