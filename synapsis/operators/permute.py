@@ -53,6 +53,12 @@ def reject_share(scores: DataFrame, keys: list[str], nboot: int) -> DataFrame:
     return seen.join(hits, keys, "left").select(*keys, F.col("seen").alias("prob"), (F.coalesce("hits", F.lit(0)) / F.lit(float(nboot))).alias("pval"))
 
 
+def _order(ids: np.ndarray, seed: int, part) -> np.ndarray:
+    """Places of ``ids`` in the order of md5(seed|part|id), then id."""
+    digests = [hashlib.md5(f"{seed}|{part}|{i}".encode()).hexdigest() for i in ids.tolist()]
+    return np.array(sorted(range(len(ids)), key=lambda k: (digests[k], ids[k])), np.int64)
+
+
 def sorted_gene_kernel(expression: DataFrame, cells: DataFrame, genes: DataFrame, p: Params) -> DataFrame:
     """(perm, gene, group_name, avg) of the observed and the permuted labels, without a row for each value and permutation.
 
@@ -64,12 +70,25 @@ def sorted_gene_kernel(expression: DataFrame, cells: DataFrame, genes: DataFrame
     ids = labels.cell_id.to_numpy()
     table = np.empty((p.nboot + 1, len(ids)), np.int16)
     table[0] = codes
-    shuffled = lambda part: sorted(range(len(ids)), key=lambda i: (hashlib.md5(f"{p.seed}|{part}|{ids[i]}".encode()).hexdigest(), ids[i]))
-    base = codes[shuffled("base")] if len(ids) else codes
-    for k in range(p.nboot):
-        table[k + 1, shuffled(k)] = base
+    spark = expression.sparkSession
+    base = codes[_order(ids, p.seed, "base")].astype(np.int16)
+    first = spark.sparkContext.broadcast((ids, base))
+
+    def labels_of(batches):  # a permutation is a task's sort of ids; its labels come back as two bytes a cell
+        for b in batches:
+            ids, base = first.value
+            out = []
+            for k in b.column("id").to_pylist():
+                row = np.empty(len(ids), np.int16)
+                row[_order(ids, p.seed, k)] = base
+                out.append(row.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], names=["id", "labels"])
+
+    drawn = spark.range(p.nboot).repartition(max(p.nboot, 1)).mapInArrow(labels_of, "id bigint, labels binary").toArrow()  # LABEL_BYTES at most
+    for k, row in zip(drawn["id"].to_pylist(), drawn["labels"]):
+        table[k + 1] = np.frombuffer(row.as_buffer(), np.int16)
     sizes = np.bincount(codes, minlength=len(names))
-    shared = expression.sparkSession.sparkContext.broadcast((ids, table))
+    shared = spark.sparkContext.broadcast((ids, table))
     quantiles = (0.25, 0.5, 0.75) if p.mean_method.value == "triMean" else (0.5,)
 
     def one(key, rows):
