@@ -23,6 +23,12 @@ from .common import Scratch, with_rid
 
 SPACE = "▁"
 HEAD, HEAD_BYTES = 1 << 19, 64
+#: Frequencies are told apart by so many steps a doubling when the head is chosen.
+STEPS = 4
+
+
+def _level() -> F.Column:
+    return F.floor(F.log2("n") * STEPS).cast("int")
 
 
 @lru_cache(2)
@@ -121,14 +127,14 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     vocabulary = scratch.save(counts.mapInArrow(once, "token string, n bigint, pieces bigint"), "vocabulary")
     scratch.release()
 
-    short = vocabulary.where(F.octet_length("token") <= HEAD_BYTES).withColumn("level", F.floor(F.log2("n")).cast("int"))
-    level, total = 64, 0
-    for r in sorted(short.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # 63 rows at most
+    short = vocabulary.where(F.octet_length("token") <= HEAD_BYTES).withColumn("level", _level())
+    level, total = 64 * STEPS, 0
+    for r in sorted(short.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # a few hundred rows at most
         if (total := total + r["count"]) > head:
             break
         level = r["level"]
     shared = _Shared(spark, short.where(F.col("level") >= level).select("token", "pieces").toArrow())
-    is_rest = (F.octet_length("token") > HEAD_BYTES) | (F.floor(F.log2("n")) < level)
+    is_rest = (F.octet_length("token") > HEAD_BYTES) | (_level() < level)
 
     def frequencies(batches):
         known = _head(shared)
