@@ -8,6 +8,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -50,9 +51,12 @@ class Scratch:
             self._delete(self.root)
 
     def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced: what one collection
+        frees may hold on to others, so there are two, and the cleaner has a moment in between."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def with_rid(docs: DataFrame, scratch: Scratch, columns: list) -> DataFrame:
