@@ -212,54 +212,196 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("rid", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("rid") == F.col("first")).alias("keep"))
 
 
-#: Fewest shingles in a part, and most parts (a power of two), of `similar_documents`.
-PART, PARTS = 12, 8
+#: Shingles of a part, and parts of a text. Texts of SHORT shingles at most have parts of one shingle; those of four
+#: fifths of SHORT or more have parts of PART, so partners on either side of the border share a kind.
+PART, PARTS, SHORT = 5, 20, 24
+#: Slots of a sketch; equal slots of a candidate (a similarity of 0.8 has 51) and of two texts joined first; and the
+#: largest bucket that gives out all its candidates.
+SKETCH, NEAR, SURE, FEW = 64, 38, 62, 16
+#: Odd factors: h * factor is a permutation of the hashes.
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, PARTS + SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _least(h: np.ndarray, factors: np.ndarray, m: int) -> np.ndarray:
+    """For each factor, the ``m`` hashes of ``h`` (distinct, ``m`` or more) that its permutation puts first."""
+    best, step = np.zeros((len(factors), 0), np.uint64), 1 << 14
+    for k in range(0, len(h), step):
+        block = np.concatenate([best, np.broadcast_to(h[k : k + step], (len(factors), len(h[k : k + step])))], 1)
+        order = block * factors[:, None]
+        at = order.argmin(1)[:, None] if m == 1 else np.argpartition(order, m - 1, 1)[:, :m] if block.shape[1] > m else None
+        best = block if at is None else np.take_along_axis(block, at, 1)
+    return best
+
+
+def _parts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and fingerprints of the parts of a text with the distinct shingle hashes ``h``."""
+    number, fp = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    if 0 < len(h) <= SHORT:
+        number.append(np.arange(PARTS))
+        fp.append(_least(h, FACTORS[:PARTS], 1)[:, 0])
+    if 5 * len(h) >= 4 * SHORT:
+        ones = np.unpackbits(_least(h, FACTORS[:PARTS], PART).view(np.uint8).reshape(PARTS, PART, 8), axis=2, bitorder="little").sum(1, dtype=np.int64)
+        number.append(np.arange(PARTS, 2 * PARTS))
+        fp.append(np.packbits(2 * ones > PART, axis=1, bitorder="little").view(np.uint64)[:, 0])
+    return np.concatenate(number), np.concatenate(fp)
 
 
 def part_fingerprints(raw: bytes, words: int) -> list[tuple[int, int]]:
-    """(part, fingerprint) of a text's parts: by their hashes its shingles fall into as many equal parts as leave
-    PART in each, PARTS at most, and into half as many, for partners on the other side of that border. Part numbers
-    begin with the number of parts. A text without words has the one part (1, 0)."""
-    h = np.sort(shingles(raw, words))
-    n = 1
-    while n < PARTS and len(h) >= 2 * n * PART:
-        n *= 2
-    out = []
-    for k in {n, max(1, n // 2)}:
-        dealt = (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 3)).astype(np.int64) * k // 8
-        found = [(k + j, majority(h[dealt == j])) for j in range(k) if k == 1 or (dealt == j).any()]
-        out += found
+    """(part, fingerprint) of a text's parts. A part is the PART shingles (one in short texts) that a permutation of
+    the hashes puts first, so two texts of similarity s have equal parts with a chance of about s^PART, whatever
+    their length. A text without words has none: it is only a copy of others."""
+    return list(zip(*(x.tolist() for x in _parts(np.unique(shingles(raw, words))))))
+
+
+def _sketch(h: np.ndarray) -> bytes:
+    """A byte of the hash that each of SKETCH permutations puts first; equal slots estimate the similarity."""
+    return _least(h, FACTORS[PARTS:], 1)[:, 0].astype(np.uint8).tobytes() if len(h) else bytes(SKETCH)
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of shingle hashes have a Jaccard similarity of 0.8 or more; two empty ones have."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 5 * both >= 4 * (len(x) + len(y) - both)
+
+
+def _spanning(sketch: np.ndarray) -> list[tuple[int, int]]:
+    """Candidates that span a bucket's groups of sketches, likely ones first; partners are drawn, so no row is a hub."""
+    n, rng, out = len(sketch), np.random.default_rng(SEED), []
+    group, heads, members = np.zeros(n, np.int64), np.zeros_like(sketch), []
+    for i in range(n):
+        equal = (heads[: len(members)] == sketch[i]).sum(1)
+        g = int(equal.argmax()) if len(equal) else 0
+        if len(equal) and equal[g] >= SURE:
+            other = members[g][int(rng.integers(len(members[g])))]
+            out.append((other if (sketch[other] == sketch[i]).sum() >= SURE else members[g][0], i))
+            members[g].append(i)
+        else:
+            g = len(members)
+            heads[g] = sketch[i]
+            members.append([i])
+        group[i] = g
+    left = len(members)
+    for i in range(1, n):
+        if left == 1:
+            break
+        equal = (sketch[:i] == sketch[i]).sum(1)
+        while True:
+            open_ = np.where(group[:i] != group[i], equal, 0)
+            other = int(open_.argmax())
+            if open_[other] < NEAR:
+                break
+            out.append((other, i))
+            group[group == group[other]] = group[i]
+            left -= 1
     return out
 
 
-def similar_documents(docs: DataFrame, rid_col: str, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_bits: int = 4, most: int = BUCKET) -> DataFrame:
-    """(rid, keep): one row of each group of documents of a shingle similarity of about 0.8 or more is kept.
+def _candidates(again: bool):
+    """(a, b, bucket) of (bucket, node, sketch) sorted by bucket. Buckets of FEW nodes give all pairs whose sketches
+    allow the similarity, and no bucket; larger ones a spanning forest of them. ``again``: all such pairs of different
+    ``component``."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64())])
+
+    def pairs(first, last, sketch, comp):
+        """All pairs of the buckets [first, last) that may be similar."""
+        size = last - first
+        end, d = np.repeat(last, size), 1
+        at = np.concatenate([np.arange(a, b) for a, b in zip(first, last)]) if len(first) else np.zeros(0, np.int64)
+        found = [np.zeros((0, 2), np.int64)]
+        while len(at):
+            live = at + d < end
+            at, end = at[live], end[live]
+            for k in range(0, len(at), 1 << 15):
+                i = at[k : k + (1 << 15)]
+                i = i[((sketch[i] == sketch[i + d]).sum(1) >= NEAR) & (comp[i] != comp[i + d])]
+                found.append(np.stack([i, i + d], 1))
+            d += 1
+        return np.concatenate(found)
+
+    def settle(key, node, comp, sketch):
+        edge = np.flatnonzero(np.diff(key)) + 1
+        first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
+        few = (last - first > 1) & (again | (last - first <= FEW))
+        at, bucket = pairs(first[few], last[few], sketch, comp), []
+        rows = [at]
+        for a, b in zip(first[~few & (last - first > 1)], last[~few & (last - first > 1)]):
+            rows.append(np.array(_spanning(sketch[a:b]), np.int64).reshape(-1, 2) + a)
+            bucket += [int(key[a])] * len(rows[-1])
+        at = np.concatenate(rows)
+        a, b = node[at[:, 0]], node[at[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([None] * len(rows[0]) + bucket, pa.int64())], schema=schema)
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, SKETCH), np.uint8)]
+        for b in batches:
+            fresh = [b.column(c).to_numpy() for c in ("bucket", "node", "component")] + [np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)]
+            held = [np.concatenate(x) for x in zip(held, fresh)]
+            if len(held[0]) and (cut := int(np.flatnonzero(held[0] == held[0][-1])[0])):
+                yield settle(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield settle(*held)
+
+    return run
+
+
+def similar_documents(docs: DataFrame, rid_col: str, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """(rid, keep): one row of each group of documents is kept; links are shingle similarities of 0.8 or more.
 
     One fingerprint of 64 bits cannot tell a similarity of 0.8, which changes ten bits, from chance among many
-    documents. So a document's shingles are dealt by their hashes into parts with a fingerprint each, and documents
-    are linked where any part's fingerprints differ in ``max_bits`` bits or fewer. A similarity of 0.9 leaves some
-    part nearly unchanged almost always, 0.8 mostly, and 0.5 hardly ever. The row kept has the smallest id, then row
-    id; null ids come last; null text is empty; texts without words are copies of each other.
+    documents. So a text has PARTS fingerprints of small parts; texts with an equal one meet in a bucket. Candidates
+    are the pairs there whose sketches allow 0.8, and each one's similarity is computed from both texts before it
+    links. A large bucket gives a spanning forest of its candidates; only where one of those proves too low, it gives
+    all pairs of different components in a second round, so no candidate is lost. Equal sets of shingles are one node.
+    The row kept has the smallest id, then row id; null ids come last; null text is empty; texts without words are
+    copies of each other.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     rows = docs.select(F.col(rid_col).alias("rid"), F.col(id_col).alias("doc_id"), as_binary(F.col(text_col)).alias("raw"))
     kind = dict(rows.dtypes)["doc_id"]
 
-    def run(batches):
+    def prints(batches):
+        for b in batches:
+            node, buckets, sketch = [], [], []
+            for raw in b.column("raw").to_pylist():
+                h = np.unique(shingles(raw, words))
+                number, fp = _parts(h)
+                node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                buckets.append((fp ^ number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+                sketch.append(_sketch(h))
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["rid", "doc_id", "node", "buckets", "sketch"])
+
+    def verify(batches):
         for b in batches:
-            found = [part_fingerprints(x, words) for x in b.column("raw").to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            part, fp = np.array([x for f in found for x in f], object).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([b.column("rid").take(at), b.column("doc_id").take(at), pa.array(part.astype(np.int32)), pa.array(fp.astype(np.uint64).view(np.int64))], names=["rid", "doc_id", "part", "fp"])
-
-    prints = scratch.save(rows.mapInArrow(run, f"rid bigint, doc_id {kind}, part int, fp bigint"), "prints")
-    distinct = scratch.save(prints.groupBy("part", "fp").agg(F.count("*").alias("n")), "distinct")
-    links = scratch.save(link_fingerprints(distinct.select("part", "fp"), max_bits, most, scratch), "links")
-    node = lambda fp: F.xxhash64("part", fp)
-    linked = links.select("part", F.col("a").alias("fp")).union(links.select("part", F.col("b").alias("fp"))).union(distinct.where("n > 1").select("part", "fp")).distinct()
-    member = prints.join(linked, ["part", "fp"]).select(F.xxhash64(F.lit(-1), "rid").alias("a"), node("fp").alias("b"))
-    comp = components(member.union(links.select(node("a"), node("b"))), scratch)
-    each = prints.select("rid", "doc_id").distinct().withColumn("node", F.xxhash64(F.lit(-1), "rid"))
-    placed = each.join(comp, "node", "left").select("rid", F.coalesce("component", "node").alias("c"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("best"))
-    best = placed.groupBy("c").agg(F.min("best").alias("first"))
-    return placed.join(best, "c").select("rid", (F.col("rid") == F.col("first.rid")).alias("keep"))
+            ok = [similar(*(np.unique(shingles(x, words)) for x in both)) for both in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    sets = scratch.save(rows.mapInArrow(prints, f"rid bigint, doc_id {kind}, node bigint, buckets array<bigint>, sketch binary"), "sets")
+    nodes = scratch.save(sets.groupBy("node").agg(F.min("rid").alias("rid"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")), "nodes")
+    dealt = sets.join(nodes.select("rid"), "rid", "left_semi").select("node", "sketch", F.explode("buckets").alias("bucket"))
+
+    def candidates(members: DataFrame, again: bool, name: str) -> DataFrame:
+        met = members.select("bucket", "node", "component", "sketch").repartition("bucket").sortWithinPartitions("bucket", "node")
+        return scratch.save(met.mapInArrow(_candidates(again), "a bigint, b bigint, bucket bigint"), name)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, ok) of distinct pairs, by the texts of both."""
+        wanted = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").select("rid", "node")
+        texts = scratch.save(rows.select("rid", "raw").join(wanted, "rid").select("node", "raw"), f"texts-{name}")
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("raw").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("raw").alias("y")), "b")
+        out = scratch.save(both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint, ok boolean"), f"verified-{name}")
+        scratch.drop(f"texts-{name}")
+        return out
+
+    found = candidates(dealt.withColumn("component", F.col("node")), False, "found")
+    seen = verified(found.select("a", "b").distinct(), "first")
+    links = seen.where("ok").select("a", "b")
+    comp = scratch.save(components(links, scratch), "components")
+    wrong = scratch.save(found.where("bucket is not null").join(seen.where("not ok"), ["a", "b"], "left_semi").select("bucket").distinct(), "wrong")
+    if not wrong.isEmpty():
+        members = dealt.join(wrong, "bucket", "left_semi").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rest = candidates(members, True, "rest").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
+        more = verified(scratch.save(rest, "untested"), "second")
+        comp = scratch.save(components(links.union(more.where("ok").select("a", "b")), scratch), "components-all")
+    first = nodes.join(comp, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("best").alias("best")).select(F.col("best.rid").alias("first"))
+    return sets.join(first, sets.rid == F.col("first"), "left").select("rid", F.col("first").isNotNull().alias("keep"))
