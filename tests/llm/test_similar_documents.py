@@ -1,5 +1,6 @@
 """The near-duplicate stage against the exact graph of shingle similarities: real pairs are found, false links drop nothing."""
 
+import corpus_pipeline as pipeline
 import numpy as np
 from pyspark.sql import functions as F
 from synapsis.llm import simhash
@@ -60,3 +61,14 @@ def test_large_groups_are_whole(spark):
     chain = [f"c{i}" for i in range(400)]
     texts += [" ".join(chain[8 * k : 8 * k + 120]) for k in range(30)]
     assert kept(spark, texts) == exact(texts)
+
+
+def test_stage_against_the_exact_graph(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 120").collect()
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{sf}/documents.parquet").schema).repartition(2)
+    rows = sorted(rows, key=lambda r: r.doc_id)
+    want = [rows[i].doc_id for i in exact([r.text or "" for r in rows])]
+    second = pipeline.near_duplicates(spark, docs, sf)
+    assert sorted(r.doc_id for r in second.collect()) == want and second.columns == docs.columns
+    fourth = pipeline.source_mixing(spark, second, sf)
+    assert fourth.columns == docs.columns and {r.doc_id for r in fourth.collect()} <= set(want)
