@@ -10,6 +10,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +100,12 @@ def response(target: str, body: bytes, key: str, date: str = DATE) -> bytes:
 
 
 def derive(raw: bytes) -> dict | None:
-    """The metadata and conversion records of the first response in ``raw``, or None.
+    """The metadata and conversion records of the first response in ``raw``, or None."""
+    return next(derive_all(raw), None)
+
+
+def derive_all(raw: bytes) -> Iterator[dict]:
+    """The metadata and conversion records of each response in ``raw``.
 
     Both refer to the response's id and carry its target and date; the metadata block has the response's own fields
     and HTTP headers, its digests, title and links; the conversion block is the plain text. Ids follow from the
@@ -125,13 +131,12 @@ def derive(raw: bytes) -> dict | None:
             "Response": fields, "Status": status.decode("latin-1"), "HTTP": http, "Title": title, "Links": links,
             "Payload-Digest": digest(body), "Payload-Length": len(body), "Conversion": conversion_id,
         }, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")
-        return {
+        yield {
             "response_id": source, "target_uri": common["WARC-Target-URI"], "payload_digest": digest(body), "source_block_digest": fields.get("WARC-Block-Digest", digest(block)),
             "metadata_id": metadata_id, "conversion_id": conversion_id, "title": title, "text": text, "n_links": len(links),
             "metadata": record("metadata", meta, {"WARC-Record-ID": metadata_id, **common, "WARC-Concurrent-To": conversion_id, "Content-Type": "application/json"}),
             "conversion": record("conversion", plain, {"WARC-Record-ID": conversion_id, **common, "Content-Type": "text/plain; charset=utf-8"}),
         }
-    return None
 
 
 FIELDS = pa.schema([*((c, pa.string()) for c in ("response_id", "target_uri", "payload_digest", "source_block_digest", "metadata_id", "conversion_id", "title", "text")), ("n_links", pa.int64()), ("metadata", pa.binary()), ("conversion", pa.binary())])
@@ -139,9 +144,9 @@ FIELDS_SQL = ", ".join(f"{f.name} {({pa.string(): 'string', pa.int64(): 'bigint'
 
 
 def derivatives(responses: DataFrame, warc_col: str = "warc", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (all other columns by default) and the derived records of each row's response record.
+    """``keep`` (all other columns by default) and the derived records of each response record: a row for each.
 
-    Bytes without a response record (null and empty too) give nulls. Rows stand alone, so repeated rows give equal
+    Bytes without a response record (null and empty too) give one row of nulls. Rows stand alone, so repeated rows give equal
     records; an empty table gives an empty result. Kept columns that have an output's name are replaced.
     """
     keys = [c for c in (keep if keep is not None else [c for c in responses.columns if c != warc_col]) if c not in FIELDS.names]
@@ -163,7 +168,8 @@ def _map(source: DataFrame, keys: list[str], raws) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [derive(r or b"") or {} for r in raws(b)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *(pa.array([x.get(f.name) for x in found], f.type) for f in FIELDS)], names=[*keys, *FIELDS.names])
+            each = [list(derive_all(r or b"")) or [{}] for r in raws(b)]
+            at, found = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each])), [x for r in each for x in r]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in keys), *(pa.array([x.get(f.name) for x in found], f.type) for f in FIELDS)], names=[*keys, *FIELDS.names])
 
     return source.mapInArrow(run, kinds + FIELDS_SQL)
