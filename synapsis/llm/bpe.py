@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_rows
+
 #: How byte-level models cut text before merges: a fixed value.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: The pattern's classes are those of Unicode 15; later letters and numbers are in neither class there.
@@ -228,7 +230,7 @@ class Decoder:
         self.of, self.machine = table.of, codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        return self.machine.decode(b"".join(map(self.of.__getitem__, ids)))
+        return self.machine.decode(b"".join([self.of.get(i, b"") for i in ids]))
 
     def finish(self) -> str:
         return self.machine.decode(b"", True)
@@ -279,26 +281,27 @@ def _long(e: Encoder, pre: str) -> list[int]:
 
 
 def encode_column(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, out: str = "ids") -> DataFrame:
-    """``keep`` (all columns by default) and the ids of each whole text; null and empty texts have none. A kept column called ``out`` is replaced."""
+    """``keep`` (all columns by default) and the ids of each whole text.
+
+    Null and empty texts have none. Rows stand alone, so repeated rows give equal ids and an empty table gives an
+    empty result. A kept column called ``out`` is replaced.
+    """
     keys = [c for c in (docs.columns if keep is None else keep) if c != out]
-    return _map(docs, keys, text_col, f"`{out}` array<int>", [out], lambda texts: [pa.array([encoder(path).encode(t) for t in texts], pa.list_(pa.int32()))])
+    return _map(docs, keys, text_col, f"`{out}` array<int>", lambda texts: [pa.array([encoder(path).encode(t) for t in texts], pa.list_(pa.int32()))])
 
 
 def decode_column(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """All columns and the text of ``ids_col``; a null list is empty. A column called ``out`` is replaced."""
-    keys = [c for c in docs.columns if c != out]
-    source = docs.select(*(F.col(f"`{c}`") for c in keys))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    """All columns and the text of ``ids_col``; a null list is empty, and an id that is null or not in the vocabulary
+    gives nothing, as in the library. Rows stand alone, so repeated rows give equal texts and an empty table gives an
+    empty result. A column called ``out`` is replaced."""
+    def of(lists):
+        texts = []
+        for ids in lists:
+            d = Decoder(merges(path))
+            texts.append(d.feed(ids or []) + d.finish())
+        return [pa.array(texts, pa.string())]
 
-    def run(batches):
-        for b in batches:
-            texts = []
-            for ids in b.column(ids_col).to_pylist():
-                d = Decoder(merges(path))
-                texts.append(d.feed(ids or []) + d.finish())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*keys, out])
-
-    return source.mapInArrow(run, f"{kinds}, `{out}` string")
+    return map_rows(docs, [c for c in docs.columns if c != out], F.col(f"`{ids_col}`"), f"`{out}` string", of)
 
 
 def digests(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -314,15 +317,8 @@ def digests(docs: DataFrame, path: str, text_col: str = "text", keep: list[str]
         found = [_digests(encoder(path), t) for t in texts]
         return [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string())]
 
-    return _map(docs, keys, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", names, of)
-
-
-def _map(docs, keys, text_col, schema, names, of):
-    source = docs.select(*(F.col(f"`{c}`") for c in keys), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name != "__text")
+    return _map(docs, keys, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", of)
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *of(b.column("__text").to_pylist())], names=[*keys, *names])
 
-    return source.mapInArrow(run, kinds + schema)
+def _map(docs: DataFrame, keys: list[str], text_col: str, outputs: str, of) -> DataFrame:
+    return map_rows(docs, keys, F.coalesce(F.col(f"`{text_col}`"), F.lit("")), outputs, of)

@@ -14,17 +14,19 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: A word is a run of anything but space and the control characters 9 to 13. ``bytes.split()`` cuts the same way.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a local folder serves
+    a local master; on a cluster, executors would not see one another's files, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "synapsis-scratch")
-    return found.rstrip("/")
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or "file://" + os.path.join(tempfile.gettempdir(), "synapsis-scratch")).rstrip("/")
 
 
 class Scratch:
@@ -47,6 +49,8 @@ class Scratch:
         self._delete(f"{self.root}/{name}")
 
     def clear(self) -> None:
+        """Delete all tables; results that read them must be written first. Done at the driver's end if not before."""
+        atexit.unregister(self.clear)
         with contextlib.suppress(Exception):  # the session may have ended first
             self._delete(self.root)
 
@@ -59,17 +63,32 @@ class Scratch:
             time.sleep(0.3)
 
 
-def with_rid(docs: DataFrame, scratch: Scratch, columns: list) -> DataFrame:
-    """``columns`` of ``docs`` and a row id ``rid`` that every later scan repeats.
+def with_rid(docs: DataFrame, columns: list) -> DataFrame:
+    """``columns`` of ``docs`` and a row id ``rid``. Another scan may number the rows otherwise, so the rows, or what is
+    worked out from them, are to be written once and read from there."""
+    return docs.select(*columns, F.monotonically_increasing_id().alias("rid"))
 
-    The id follows the partitions of a file scan, which Spark deals in the same way each time; any other plan is
-    written to the shared folder first, so that a join or a shuffle below cannot renumber the rows.
+
+def map_rows(docs: DataFrame, keys: list[str], value: F.Column, outputs: str, of) -> DataFrame:
+    """The columns ``keys`` of ``docs``, whatever their names and types, then ``outputs`` ("name type, ...").
+
+    ``of`` takes the ``value``s of a batch and returns arrays of the outputs, one row for each value; or, before
+    those, the number of the value that each output row belongs to.
     """
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    kept = docs.select(*columns)
-    if re.search(r"^[\s:+\-|]*(?!Relation|Project|Filter)[A-Z]\w+", plan, re.M):
-        kept = scratch.save(kept, "rows")
-    return kept.select("*", F.monotonically_increasing_id().alias("rid"))
+    source = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)), value.alias("value"))
+    made = _parse_datatype_string(outputs).fields
+    kinds = StructType([*source.schema.fields[:-1], *(StructField(f"o{i}", f.dataType) for i, f in enumerate(made))])
+
+    def run(batches):
+        for b in batches:
+            rows, kept = of(b.column("value").to_pylist()), b.columns[:-1]
+            if isinstance(rows, tuple):
+                at, rows = rows
+                kept = [c.take(at) for c in kept]
+            yield pa.RecordBatch.from_arrays([*kept, *rows], names=kinds.names)
+
+    out = source.mapInArrow(run, kinds)
+    return out.select(*(F.col(c).alias(n) for c, n in zip(kinds.names, [*keys, *(f.name for f in made)])))
 
 
 def as_binary(col) -> F.Column:

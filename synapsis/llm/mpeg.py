@@ -6,17 +6,19 @@ Layer III frames whose side information is all zero (silence) and whose main dat
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import re
 import struct
 import zlib
 from fractions import Fraction
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary
+from .common import as_binary, map_rows
 
 # Fixed values of the format: kbit/s by (version 1, layer), then (versions 2 and 2.5, layer); Hz; samples a frame.
 BITRATES = {
@@ -47,16 +49,56 @@ def header(word: int) -> tuple | None:
 
 
 @lru_cache(4096)
-def crc16(data: bytes) -> int:
-    """CRC of polynomial 0x8005 from 0xFFFF, as frames carry it."""
-    crc = 0xFFFF
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """CRC of polynomial 0x8005 from 0xFFFF over ``data``, or its first ``bits`` bits, as frames carry it."""
+    crc, left = 0xFFFF, 8 * len(data) if bits is None else bits
     for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+        for k in range(7, 7 - min(8, left), -1):
+            crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ byte >> k) & 1 else 0)) & 0xFFFF
+        left -= 8
+        if left <= 0:
+            break
     return crc
 
 
+# Fixed values of the format, Layer II: bits of a subband's allocation as (subbands, bits), lowest subband first.
+ALLOCATION = {"low": ((2, 4), (10, 3)), "high": ((11, 4), (12, 3), (7, 2)), "lsf": ((4, 4), (7, 3), (19, 2))}
+
+
+def _protected(frame: bytes, word: int, h: tuple) -> tuple[bytes, int] | None:
+    """(bytes, bits) that the checksum of a frame covers, header first; None if the frame ends before."""
+    version, layer, _, _, rate, _, channels, side = h
+    if layer == 3:
+        return (frame[2:4] + frame[6 : 6 + side], 16 + 8 * side) if len(frame) >= 6 + side else None
+    joint, body = word >> 6 & 3 == 1, frame[6:]
+    bound = 4 * (word >> 4 & 3) + 4 if joint else 32
+    if layer == 1:
+        bits = 4 * (32 + min(bound, 32) if channels == 2 else 32)
+        return (frame[2:4] + body, 16 + bits) if 8 * len(body) >= bits else None
+    if version != 3:
+        table, bands = "lsf", 30
+    else:
+        each = BITRATES[1, 2][word >> 12 & 15] // channels
+        table = "low" if each < 56 else "high"
+        bands = (12 if rate == 32000 else 8) if each < 56 else 30 if each >= 96 and rate != 48000 else 27
+    widths = [w for n, w in ALLOCATION[table] for _ in range(n)][:bands]
+    bits, at, number, size = 0, 0, int.from_bytes(body[:64]), 8 * len(body[:64])
+    for band, w in enumerate(widths):
+        for _ in range(channels if band < bound else 1):
+            at += w
+            if at > size:
+                return None
+            if number >> size - at & (1 << w) - 1:  # two bits of scale-factor selection for each channel in use
+                bits += 2 * (1 if band < bound else channels)
+    return (frame[2:4] + body, 16 + at + bits) if 8 * len(body) >= at + bits else None
+
+
+def _holds(frame: bytes, word: int, h: tuple) -> bool:
+    """Whether the checksum of a protected frame fits what it covers."""
+    part = _protected(frame, word, h)
+    return part is not None and crc16(part[0][: -(-part[1] // 8)], part[1]) == int.from_bytes(frame[4:6])
+
+
 def _synchsafe(raw: bytes) -> int:
     return raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3]
 
@@ -84,18 +126,26 @@ def _vbr(frame: bytes, side: int) -> dict | None:
                     part = frame[x : x + size]
                     out[name], x = (list(part) if name == "toc" else int.from_bytes(part)), x + size
             return out
-    if frame[36:40] == b"VBRI":
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
         _, _, _, size, frames, entries, scale, width, per = struct.unpack(">HHHIIHHHH", frame[40:62])
+        entries = min(entries, (len(frame) - 62) // width) if width else 0  # those that the frame holds
         toc = [int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width]) * scale for i in range(entries)]
         return {"kind": "VBRI", "bytes": size, "frames": frames, "toc": toc, "frames_per_entry": per}
     return None
 
 
+#: Where a frame or a tag may begin: four bytes that make a valid header, or an ID3 tag of a known version.
+SYNC = re.compile(
+    b"\xff[" + bytes(0xE0 | v << 3 | x for v in (0, 2, 3) for x in range(2, 8)).replace(b"\\", b"\\\\") + b"]["
+    + b"".join(b"\\x%02x-\\x%02x" % (i << 4, i << 4 | 11) for i in range(1, 15)) + b"][\\x00-\\xff]|ID3[\\x03\\x04]", re.S,
+)
+
+
 def parse(raw: bytes) -> dict:
     """Everything about a stream.
 
     tags; vbr (table or None); frames: (offset, bytes, checked, checksum holds) of each audio frame; skipped bytes that
-    belong to no frame or tag; samples and rate; duration, an exact Fraction of seconds over all frames. A header
+    belong to no frame or tag (a checksum that is not there holds); samples and rate; duration, an exact Fraction of seconds over all frames. A header
     counts where the frame it announces is followed by another header of the same version, layer and rate, a tag, or
     the end; else the search goes on at the next byte. Empty input has no frames.
     """
@@ -121,14 +171,13 @@ def parse(raw: bytes) -> dict:
             if not (last or end == n or fits(end, h) or raw[end : end + 3] in (b"ID3", b"TAG")):
                 h = None
         if not h:
-            # resynchronise: nothing but FF, I or T can begin a frame or a tag
-            nxt = min((x for x in (raw.find(b"\xff", at + 1), raw.find(b"ID3", at + 1), n - 128 if n - 128 > at and raw[n - 128 : n - 125] == b"TAG" else -1) if x > at), default=n)
+            # resynchronise at the next header or tag: every byte is looked at once
+            found, end_tag = SYNC.search(raw, at + 1), n - 128 if n - 128 > at and raw[n - 128 : n - 125] == b"TAG" else n
+            nxt = min(found.start() if found else n, end_tag)
             out["skipped"] += nxt - at
             at, last = nxt, None
             continue
-        good = True
-        if h[2] and h[1] == 3:
-            good = crc16(raw[at + 2 : at + 4] + raw[at + 6 : at + 6 + h[7]]) == int.from_bytes(raw[at + 4 : at + 6])
+        good = not h[2] or _holds(raw[at:end], int.from_bytes(raw[at : at + 4]), h)
         table = None if out["frames"] or out["vbr"] or h[1] != 3 else _vbr(raw[at:end], h[7])
         if table:
             out["vbr"] = table
@@ -183,6 +232,8 @@ def load(raw: bytes, info: dict | None = None) -> bytes:
     own = [b for b in info["tags"].get("PRIV", []) if b.startswith(PRIVATE + b"\0")]
     if not own:
         raise ValueError("no payload in this stream")
+    if len(own[0]) != len(PRIVATE) + 13:
+        raise ValueError("the payload's tag is damaged")
     size, crc = struct.unpack(">QI", own[0][len(PRIVATE) + 1 :])
     payload = b"".join(raw[x + HEAD : x + n] for x, n, _, _ in info["frames"])[:size]
     if len(payload) != size or zlib.crc32(payload) != crc:
@@ -203,27 +254,16 @@ def _columns(infos: list[dict]) -> list[pa.Array]:
     return [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(INFO)]
 
 
-def _run(docs: DataFrame, keys: list[str], value: Column, schema: str, of) -> DataFrame:
-    source = docs.select(*(F.col(f"`{c}`") for c in keys), value.alias("__raw"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name != "__raw")
-    names = [*keys, *(x.strip().split(" ")[0] for x in schema.split(","))]
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *of(b.column("__raw").to_pylist())], names=names)
-
-    return source.mapInArrow(run, kinds + schema)
-
-
 def media_columns(media: DataFrame, media_col: str = "media", keys: list[str] | None = None) -> DataFrame:
     """``keys`` (all other columns by default) and what `parse` finds in the stream of each row.
 
     Duration is exact: duration_num / duration_den seconds; frame_offsets has the byte offset of every audio frame.
-    A null or empty stream has no frames and a duration of 0/1; bytes that are no stream are all skipped. A key that
-    has an output's name is left out.
+    A null or empty stream has no frames and a duration of 0/1; bytes that are no stream are all skipped, and damaged
+    ones never fail. Rows stand alone, so repeated rows give equal results, and an empty table gives an empty one. A
+    key that has an output's name is left out.
     """
     keys = [c for c in (keys or [c for c in media.columns if c != media_col]) if c not in INFO.names]
-    return _run(media, keys, as_binary(F.col(f"`{media_col}`")), INFO_SQL, lambda raws: _columns([parse(r) for r in raws]))
+    return map_rows(media, keys, as_binary(F.col(f"`{media_col}`")), INFO_SQL, lambda raws: _columns([parse(r) for r in raws]))
 
 
 def payload(raw: bytes) -> bytes:
@@ -236,23 +276,40 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def of(raws):
         return [pa.array([len(r) for r in raws], pa.int64()), pa.array([store(payload(r)) for r in raws], pa.binary())]
 
-    return _run(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], as_binary(F.col("text")), "n_bytes bigint, media binary", of)
+    return map_rows(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), ["doc_id"], as_binary(F.col("text")), "n_bytes bigint, media binary", of)
+
+
+def _feature(i: dict) -> str:
+    """What `parse` found, as one line."""
+    vbr = f"{i['vbr']['kind']}:{i['vbr'].get('frames')}:{i['vbr'].get('bytes')}" if i["vbr"] else ""
+    seek = zlib.crc32(struct.pack(f">{len(i['frames'])}Q", *(f[0] for f in i["frames"])))
+    return (
+        f"layer={i['layer']};rate={i['rate']};channels={i['channels']};frames={len(i['frames'])};samples={i['samples']};seconds={i['duration']};"
+        f"bad_crc={sum(not f[3] for f in i['frames'])};skipped={i['skipped']};vbr={vbr};tags={','.join(sorted(i['tags']))};seek={seek:08x}"
+    )
+
+
+BACK = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
 def read_back(stored: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, then payload, media digests and features of each ``media``, all from the stored bytes."""
+    """``keys``, then payload, media digests and features of each ``media``, all from the stored bytes.
+
+    A null stream has nulls throughout; one that holds no whole payload of `store` has nulls for the payload. Rows
+    stand alone, so repeated rows give equal results, and an empty table gives an empty one.
+    """
+
+    def one(raw: bytes | None) -> tuple:
+        if raw is None:
+            return (None,) * 6
+        info, found = parse(raw), None
+        with contextlib.suppress(ValueError):
+            found = load(raw, info)
+        own = (None,) * 3 if found is None else (len(found), hashlib.sha256(found).hexdigest(), zlib.crc32(found[-64:]))
+        return (*own, len(raw), hashlib.sha256(raw).hexdigest(), _feature(info))
 
     def of(raws):
-        infos = [parse(r) for r in raws]
-        found = [load(r, i) for r, i in zip(raws, infos)]
-        feature = [
-            f"layer={i['layer']};rate={i['rate']};channels={i['channels']};frames={len(i['frames'])};samples={i['samples']};seconds={i['duration']};bad_crc={sum(not f[3] for f in i['frames'])};"
-            f"skipped={i['skipped']};vbr={i['vbr']['kind']}:{i['vbr']['frames']}:{i['vbr']['bytes']};tags={','.join(sorted(i['tags']))};seek={zlib.crc32(struct.pack(f'>{len(i["frames"])}Q', *(f[0] for f in i['frames']))):08x}"
-            for i in infos
-        ]
-        return [
-            pa.array([len(p) for p in found], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in found]), pa.array([zlib.crc32(p[-64:]) for p in found], pa.int64()),
-            pa.array([len(r) for r in raws], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raws]), pa.array(feature),
-        ]
-
-    return _run(stored, keys, F.col("media"), "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", of)
+        rows = [one(r) for r in raws]
+        return [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(BACK)]
+
+    return map_rows(stored, keys, F.col("media"), "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", of)

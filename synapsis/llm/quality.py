@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, batch
+from .common import WORD, batch, map_rows
 
 #: Largest share of the characters in words that repeated n-grams may cover (places after the first), by n: fixed values.
 NGRAM_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -80,18 +80,14 @@ def repetition(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
     LINE_CHAR_SHARE. Null and empty texts have zero counts and fail; each row is judged alone, so repeated rows get
     equal verdicts and an empty table gives an empty result. A kept column that has a count's name is replaced by it.
     """
-    own = {*SCHEMA.names, "base_failed", "kept"}
-    keys = [c for c in (docs.columns if keep is None else keep) if c not in own]
-    source = docs.select(*(F.col(f"`{c}`") for c in keys), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
-
-    def run(batches):
-        for b in batches:
-            found = [measure(x) for x in b.column("__text").to_pylist()]
-            counts = batch(SCHEMA, *([m[c] for m in found] for c in SCHEMA.names))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *counts.columns], names=[*keys, *SCHEMA.names])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-    out = source.mapInArrow(run, ", ".join(x for x in (kinds, SCHEMA_SQL) if x))
+    outputs = {*SCHEMA.names, "base_failed", "kept"}
+    keys = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
+
+    def of(texts):
+        found = [measure(x) for x in texts]
+        return batch(SCHEMA, *([m[c] for m in found] for c in SCHEMA.names)).columns
+
+    out = map_rows(docs, keys, F.coalesce(F.col(f"`{text_col}`"), F.lit("")), SCHEMA_SQL, of)
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     bad = (F.col("n_dup_lines") > LINE_SHARE * F.col("n_lines")) | (F.col("dup_line_chars") > LINE_CHAR_SHARE * F.col("line_chars"))
     for i, share in enumerate(NGRAM_SHARE.values()):

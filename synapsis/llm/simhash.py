@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives an empty result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = with_rid(docs, scratch, [F.col(id_col).alias("doc_id"), as_binary(F.col(text_col)).alias("raw")])
+    rows = with_rid(docs, [F.col(id_col).alias("doc_id"), as_binary(F.col(text_col)).alias("raw")])
     prints = scratch.save(fingerprints(rows, words), "prints")
     each = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"))
     comp = components(link_fingerprints(each.select(F.lit(0).alias("part"), "fp"), max_bits, most, scratch), scratch)
