@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import bpe, mixing, mpeg, oracle, quality, secrets, simhash, substring, token_counts, warc
-
+from .common import Scratch
 
 TOKEN_LIMIT = 4096
 
@@ -67,8 +67,9 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document, each distinct text scanned once."""
-    found, _ = secrets.scan_versions(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    """Secrets of every document, against a ledger: the one kept in ``synapsis.secrets.ledger``, else a new one."""
+    ledger = secrets.Ledger(spark, spark.conf.get("synapsis.secrets.ledger", None) or Scratch(spark, "secrets").root)
+    found, _ = ledger.scan(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     counts = [secrets.count(k).alias(f"n_{k}") for k in secrets.KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(secrets.listed(True), 256).alias("base_sha256"), secrets.listed(False).alias("spans"))
 
