@@ -15,9 +15,15 @@ from .common import Scratch
 GOLDEN, RING, SLOTS, BLOCK, LIMIT, CHUNK = 2654435769, 1 << 32, 1 << 16, 4096, 3, 1 << 12
 
 
-def sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+def sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
     n = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n.alias("size"))
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(source_col).alias("source"), n.alias("size"), F.xxhash64(text_col).alias("content"), (F.col(row_col) if row_col else F.lit(0)).alias("row"))
+
+
+def ring_point(j) -> F.Column:
+    """j * GOLDEN mod RING. The factor goes in halves of 16 bits, so that no product of any slot number overflows."""
+    low, high = F.pmod(j, F.lit(1 << 16)), F.shiftright(F.pmod(j, F.lit(RING)), 16)
+    return F.pmod(F.pmod(high * GOLDEN, F.lit(1 << 16)) * (1 << 16) + low * GOLDEN, F.lit(RING))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -52,7 +58,7 @@ def schedule(goals: DataFrame, n_slots: int, block: int) -> DataFrame:
     slots, so no source's slots need one task.
     """
     arcs = goals.where("low < high and source_size > 0").select("place", "source_size", "low", "high", F.explode(F.sequence(F.shiftright("low", 20), F.shiftright(F.col("high") - 1, 20))).alias("arc"))
-    slots = goals.sparkSession.range(n_slots).select(F.col("id").alias("j"), ((F.col("id") % RING) * GOLDEN % RING).alias("x")).withColumn("arc", F.shiftright("x", 20))
+    slots = goals.sparkSession.range(n_slots).select(F.col("id").alias("j"), ring_point(F.col("id")).alias("x")).withColumn("arc", F.shiftright("x", 20))
     dealt = slots.join(arcs, "arc").where("x >= low and x < high").select("place", "source_size", "j", F.expr(f"j div {CHUNK}").alias("chunk"))
     counts = dealt.groupBy("place", "chunk").agg(F.count("*").alias("n"))
     prior = F.coalesce(F.sum("n").over(Window.partitionBy("place").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -61,8 +67,8 @@ def schedule(goals: DataFrame, n_slots: int, block: int) -> DataFrame:
     return ranked.withColumn("rank", F.col("k") + F.col("prior")).where(F.col("rank") < LIMIT * blocks).groupBy("place", (F.col("rank") % blocks).alias("block")).agg(F.count("*").alias("times"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", slots: int = SLOTS, block: int = BLOCK, finish: bool = False) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of each row of ``docs``.
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", slots: int = SLOTS, block: int = BLOCK, finish: bool = False, row_col: str | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of each row of ``docs``; ``row``, too, if ``row_col`` is given.
 
     A slot counts ``block`` words, so a source whose last or only block is short ends below its target, or gets no
     slot at all. ``finish`` ends each source at its target, rounded: after its slots comes a part of one more, or the
@@ -70,30 +76,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     A block has ``block`` words, or fewer so that the mix has ``slots`` slots. Words are those of the whole text; null
     has none and is not taken. A null source is a source of its own, the last. The order in a source is that of
-    md5(id), so reruns agree; rows that repeat an id stand next to each other in it, a null id counts as "". With no
-    words at all every target is zero. An empty table gives an empty result; other columns are ignored.
+    md5(id), so reruns agree; rows that repeat an id stand next to each other in it, by size, then content, a null id
+    counts as "". It does not follow files or partitions. With no words at all every target is zero. An empty table gives an empty result; other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "mix")
-    sized = scratch.save(sizes(docs, id_col, source_col, text_col), "sizes")
+    scratch, own = Scratch(docs.sparkSession, "mix"), ["row"] if row_col else []
+    sized = scratch.save(sizes(docs, id_col, source_col, text_col, row_col), "sizes")
     goals = scratch.save(targets(sized), "goals")
     total = (goals.agg(F.max("total")).first()[0] or 0)
     block = max(1, min(block, -(-total // slots)))
     taken = None if finish else schedule(goals, -(-total // block), block)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     # where a row's words begin in its source: sums of 4,096 ranges of the order, then within each range
-    placed = sized.join(goals.select("source", "place", "source_size", "target"), sized.source.eqNullSafe(goals.source)).select("doc_id", sized.source, "size", "place", "source_size", "target", key.alias("key")).withColumn("range", F.substring("key", 1, 3))
+    placed = sized.join(goals.select("source", "place", "source_size", "target"), sized.source.eqNullSafe(goals.source)).select("doc_id", sized.source, "size", "content", "row", "place", "source_size", "target", key.alias("key")).withColumn("range", F.substring("key", 1, 3))
     sums = placed.groupBy("place", "range").agg(F.sum("size").alias("n"))
     prior = F.coalesce(F.sum("n").over(Window.partitionBy("place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.coalesce(F.sum("size").over(Window.partitionBy("place", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("size").over(Window.partitionBy("place", "range").orderBy("key", "doc_id", "size", "content", "row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = placed.withColumn("within", within).join(sums.select("place", "range", prior.alias("prior")), ["place", "range"]).withColumn("begin", F.col("prior") + F.col("within")).drop("key", "range", "within", "prior")
     if finish:
         words = F.round("target").cast("bigint")
         over = F.greatest(F.lit(0), F.least(F.col("size"), words % F.col("source_size") - F.col("begin")))
         taken = F.when(F.col("size") > 0, F.expr("cast(round(target) as bigint) div source_size") * F.col("size") + over).otherwise(0).cast("bigint")
-        return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+        return rows.select(*own, "doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
     rows = scratch.save(rows, "rows")
     some = rows.where("size > 0").select("place", "begin", "size", F.explode(F.sequence(F.expr(f"begin div {block}"), F.expr(f"(begin + size - 1) div {block}"))).alias("block"))
     overlap = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)
     got = some.join(taken, ["place", "block"]).groupBy("place", "begin").agg(F.sum(overlap * F.col("times")).alias("taken"))
     filled = rows.where("size > 0").join(got, ["place", "begin"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
-    return filled.unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("bigint"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return filled.unionByName(rows.where("size = 0").withColumn("taken", F.lit(0).cast("bigint"))).select(*own, "doc_id", "source", "size", "source_size", "target", "taken")
