@@ -105,12 +105,12 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """(doc_id, n_bytes, n_tokens) of each row: UTF-8 bytes and pieces of the whole text by the model at ``path``.
 
     Null and empty texts have zero of both. Rows are counted one by one, so repeated ids and texts are each returned;
-    an empty table gives an empty result; other columns are ignored. ``head`` bounds the broadcast table.
+    an empty table gives an empty result; other columns are ignored; ids are of any type. ``head`` bounds the broadcast table.
     """
     if not cuts(path):
         raise ValueError("pieces of this model cross pre-tokens")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "tokens")
-    rows = with_rid(docs, scratch, [F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")])
+    rows = with_rid(docs, [F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")])
 
     def distinct(batches):
         for b in batches:
@@ -153,15 +153,14 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                         total += p * f
                 sums.append(total)
                 sizes.append(len(t.encode()))
-            n, rid = len(sums), pa.array(rid, pa.int64())
-            base = pa.RecordBatch.from_arrays([rid, doc, pa.array(sizes, pa.int64()), pa.nulls(n, pa.string()), pa.array(sums, pa.int64())], schema=OUT)
-            rest = pa.RecordBatch.from_arrays([rid.take(pa.array(at, pa.int64())), pa.nulls(len(at), doc.type), pa.nulls(len(at), pa.int64()), pa.array(tokens, pa.string()), pa.array(times, pa.int64())], schema=OUT)
+            n, rid, names = len(sums), pa.array(rid, pa.int64()), ["rid", "doc_id", "n_bytes", "token", "f"]
+            base = pa.RecordBatch.from_arrays([rid, doc, pa.array(sizes, pa.int64()), pa.nulls(n, pa.string()), pa.array(sums, pa.int64())], names=names)
+            rest = pa.RecordBatch.from_arrays([rid.take(pa.array(at, pa.int64())), pa.nulls(len(at), doc.type), pa.nulls(len(at), pa.int64()), pa.array(tokens, pa.string()), pa.array(times, pa.int64())], names=names)
             yield base
             yield rest
 
     kind = dict(rows.dtypes)["doc_id"]
-    OUT = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("n_bytes", pa.int64()), ("token", pa.string()), ("f", pa.int64())])
     each = scratch.save(rows.mapInArrow(frequencies, f"rid bigint, doc_id {kind}, n_bytes bigint, token string, f bigint"), "frequencies")
     rest = each.where("token is not null").join(vocabulary.where(is_rest).select("token", "pieces"), "token").select("rid", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("bigint").alias("n_bytes"), (F.col("f") * F.col("pieces")).alias("f"))
     parts = each.where("token is null").select("rid", "doc_id", "n_bytes", "f").union(rest)
-    return parts.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("f").alias("n_tokens")).drop("rid")
+    return parts.groupBy("rid").agg(F.first("doc_id", True).alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("f").alias("n_tokens")).drop("rid")
