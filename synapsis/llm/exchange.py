@@ -19,13 +19,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StructField, StructType
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-#: Parts for each shuffle partition, and the most parts.
-SPLIT, MOST = 3, 1 << 16
-#: Bytes of text that are packed at once.
-CHUNK = 1 << 22
+#: Parts for each shuffle partition on the way to a decision.
+SPLIT = 2
+#: Bytes of text that are packed at once (for many parts, SHARE bytes for each, so that its rows stay worth their
+#: overhead, WIDE at most), and verdicts that a task gathers before it packs them.
+CHUNK, SHARE, WIDE, GATHER = 1 << 22, 64, 1 << 26, 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,7 +69,7 @@ class Layout(NamedTuple):
 def parts_of(df: DataFrame) -> tuple[int, int]:
     """(shuffle partitions, parts)"""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return n, min(MOST, SPLIT * n)
+    return n, SPLIT * n
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -84,7 +86,7 @@ def _values(planes: bytes, kind: str, width: int) -> np.ndarray:
 
 def pack(e: Entries, route: np.ndarray, layout: Layout, parts: int) -> pa.RecordBatch:
     """One row for each part that has any of the entries."""
-    part = (mix(route) % np.uint64(parts)).astype(np.uint16)
+    part = (mix(route) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
     order = np.argsort(part, kind="stable")
     part, doc, place = part[order], e.doc[order], e.place[order]
     new = np.ones(len(part), bool)
@@ -139,33 +141,45 @@ def _by_part(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[Entr
         yield _unpack(held, layout)
 
 
-def send(source: DataFrame, make: Callable[[pa.RecordBatch], Iterator[tuple[Entries, np.ndarray]]], layout: Layout) -> DataFrame:
-    """``make`` gives (entries, routes) of a batch of ``source``; they are packed and dealt to their parts."""
+def send(source: DataFrame, make: Callable[[pa.RecordBatch, int], Iterator[tuple[Entries, np.ndarray]]], layout: Layout) -> DataFrame:
+    """``make`` gives (entries, routes) of a batch of ``source``, told the number of parts; they are packed and dealt to their parts."""
     n, parts = parts_of(source)
 
     def run(batches):
         for b in batches:
-            for e, route in make(b):
+            for e, route in make(b, parts):
                 if len(e.place):
                     yield pack(e, route, layout, parts)
 
-    return source.mapInArrow(run, layout.schema()).repartition(n, "part").sortWithinPartitions("part")
+    return source.mapInArrow(run, layout.schema()).repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part")
 
 
 def decide(sent: DataFrame, layout: Layout, verdict: Callable[[Entries], Entries], back: Layout) -> DataFrame:
     """``verdict`` is called with all entries of a part and returns those that matter at home, with the columns of ``back``."""
-    n, parts = parts_of(sent)
+    n, _ = parts_of(sent)
+
+    def packed(held):
+        rid, place = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        columns = {c: np.concatenate([x[2][c] for x in held]) for c in back.columns}
+        order = np.lexsort((place, rid))
+        known, doc = np.unique(rid[order], return_inverse=True)
+        e = Entries(known, doc, place[order], {c: v[order] for c, v in columns.items()})
+        return pack(e, known[doc].view(np.uint64), back, n)
 
     def run(batches):
+        held, size = [], 0
         for e in _by_part(batches, layout):
             out = verdict(e)
-            rid = out.rids[out.doc]
-            out = Entries(rid, np.arange(len(rid)), out.place, out.columns).take(np.lexsort((out.place, rid)))
-            if len(out.place):  # equal row ids become one doc
-                known, doc = np.unique(out.rids[out.doc], return_inverse=True)
-                yield pack(Entries(known, doc, out.place, out.columns), known[doc].view(np.uint64), back, parts)
+            if len(out.place):
+                held.append((out.rids[out.doc], out.place, out.columns))
+                size += len(out.place)
+            if size >= GATHER:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
 
-    return sent.mapInArrow(run, back.schema()).repartition(n, "part").sortWithinPartitions("part")
+    return sent.mapInArrow(run, back.schema()).repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part")
 
 
 def home(decided: DataFrame, back: Layout, summary: Callable[[np.ndarray, dict[str, np.ndarray]], tuple], names: list[str]) -> DataFrame:
@@ -226,14 +240,14 @@ def merged(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.stack([low[first], high[np.append(first[1:], len(low)) - 1]], 1).astype(np.int64).ravel()
 
 
-def chunks(b: pa.RecordBatch, *columns: str) -> Iterator[list[tuple]]:
-    """The rows of a batch, ``raw`` among their columns, in lists of CHUNK bytes or one text."""
-    out, size = [], 0
+def chunks(b: pa.RecordBatch, parts: int, *columns: str) -> Iterator[list[tuple]]:
+    """The rows of a batch, ``raw`` among their columns, in lists of about CHUNK bytes (more for many ``parts``)."""
+    out, size, most = [], 0, max(CHUNK, min(WIDE, SHARE * parts))
     at = columns.index("raw")
     for row in zip(*(b.column(c).to_pylist() for c in columns)):
         out.append(row)
         size += len(row[at])
-        if size >= CHUNK:
+        if size >= most:
             yield out
             out, size = [], 0
     if out:

@@ -136,8 +136,8 @@ def _probes(window: int):
     """Every rolling block of documents that have a window; FIXED: it is one of the document's own grid, the index."""
     block = window // 2
 
-    def make(b):
-        for rows in chunks(b, "rid", "raw"):
+    def make(b, parts):
+        for rows in chunks(b, parts, "rid", "raw"):
             rids, segments = np.array([r for r, _ in rows], np.int64), []
             for d, (_, raw) in enumerate(rows):
                 if len(words := raw.split()) >= window:
@@ -170,10 +170,10 @@ def _extended(window: int):
 def _candidates(window: int):
     """Every window in a row's runs, named by its halves; in a chunk, only the first of equal ones goes by its name."""
 
-    def make(b):
+    def make(b, parts):
         all_ids = b.column("doc_id")
         begin = 0
-        for rows in chunks(b, "rid", "raw", "runs"):
+        for rows in chunks(b, parts, "rid", "raw", "runs"):
             rids, ids, segments = np.array([r for r, _, _ in rows], np.int64), all_ids.slice(begin, len(rows)), []
             begin += len(rows)
             for d, (_, raw, runs) in enumerate(rows):
@@ -251,16 +251,16 @@ def _ranked(parts: list[tuple], rids: np.ndarray):
 def _first_ranks(length: int):
     at = _sampling(length)
 
-    def make(b):
+    def make(b, parts):
         digest = xxhash.xxh3_64_intdigest
-        for rows in chunks(b, "rid", "raw"):
-            rids, parts = np.array([r for r, _ in rows], np.int64), []
+        for rows in chunks(b, parts, "rid", "raw"):
+            rids, ranked = np.array([r for r, _ in rows], np.int64), []
             for d, (_, raw) in enumerate(rows):
                 if len(raw) >= length:
                     p, _ = samples(raw, at)
                     key = np.array([digest(raw[x:y]) for x, y in zip(p[:-1].tolist(), (p[1:] + at.gram).tolist())], np.uint64)
-                    parts.append((d, p[:-1], key, np.diff(p)))
-            yield _ranked(parts, rids)
+                    ranked.append((d, p[:-1], key, np.diff(p)))
+            yield _ranked(ranked, rids)
 
     return make
 
@@ -269,16 +269,16 @@ def _next_ranks(length: int):
     """Ranks of twice as many stretches: the pair of the rank at i and the rank where that ends."""
     most = length - _sampling(length).gram
 
-    def make(b):
-        rids, parts = b.column("rid").to_numpy(), []
+    def make(b, parts):
+        rids, ranked = b.column("rid").to_numpy(), []
         for d, (p, size, key) in enumerate(zip(*(b.column(c).to_pylist() for c in ("places", "sizes", "keys")))):
             p, size, key = np.frombuffer(p, np.int64), np.frombuffer(size, np.uint16).astype(np.int64), np.frombuffer(key, np.uint64)
             at = np.minimum(np.searchsorted(p, p + size), len(p) - 1)
             ok = (p[at] == p + size) & (size + size[at] <= most)
             i, j = np.flatnonzero(ok), at[ok]
             if len(i):
-                parts.append((d, p[i], step(key[i], key[j]), size[i] + size[j]))
-        yield _ranked(parts, rids)
+                ranked.append((d, p[i], step(key[i], key[j]), size[i] + size[j]))
+        yield _ranked(ranked, rids)
 
     return make
 
@@ -297,10 +297,10 @@ def _classes(length: int, levels: int):
     """Windows with the same inner samples, whose rank is the pair of two ranks that are not unique."""
     at = _sampling(length)
 
-    def make(b):
+    def make(b, parts):
         digest = xxhash.xxh3_64_intdigest
         names_of = [c for k in range(levels) for c in (f"places{k}", f"keys{k}")]
-        for rows in chunks(b, "rid", "raw", *names_of):
+        for rows in chunks(b, parts, "rid", "raw", *names_of):
             rids, out = np.array([r[0] for r in rows], np.int64), []
             for d, (_, raw, *tables) in enumerate(rows):
                 p, first = samples(raw, at)
@@ -374,9 +374,9 @@ def _settled_and_open(length: int):
 def _open_windows(length: int):
     """Every window of the open classes, named by its rank pair and the bytes to its left and right."""
 
-    def make(b):
+    def make(b, parts):
         digest = xxhash.xxh3_64_intdigest
-        for rows in chunks(b, "rid", "raw", "open", "keys"):
+        for rows in chunks(b, parts, "rid", "raw", "open", "keys"):
             rids, docs, place, key, rest = np.array([r[0] for r in rows], np.int64), [], [], [], []
             for d, (_, raw, open_, keys) in enumerate(rows):
                 for (s, left, right, span), k in zip(np.frombuffer(open_, np.int64).reshape(-1, 4).tolist(), np.frombuffer(keys, np.uint64)):
