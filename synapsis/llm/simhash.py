@@ -1,17 +1,21 @@
 """SimHash near-duplicates through pivot distance tables.
 
-Fingerprints that differ in at most ``max_bits`` bits are linked. The 64 bits fall into ``BLOCKS`` blocks, and each
-block has ``REFS`` reference fingerprints (pivots). The table holds, for each distinct fingerprint, its Hamming
-distance to every reference within the block. For any reference r, |d(x, r) - d(y, r)| <= d(x, y); summed over
-disjoint blocks the largest such differences still bound d(x, y) from below. So a pair with at most four differing
-bits has coordinate difference 0 throughout in at least two of six blocks: equal coordinates of two blocks are the
-join key of one table (15 tables), the bound over all blocks discards most pairs that meet there, and the
-fingerprints themselves verify the survivors.
+Fingerprints that differ in at most ``max_bits`` bits are linked. The 64 bits fall into blocks, ``intact`` more than the
+bits that may differ, and each block has REFS reference fingerprints (pivots) or more. The pivot table is computed once
+and kept: for each distinct fingerprint, the vector of its Hamming distances to every reference within the block. Both
+steps below read those vectors alone.
+
+Candidates: two fingerprints within four bits have at least ``intact`` blocks where all coordinates are equal, so they
+meet under the coordinates of those blocks, one key for each choice of blocks. With more fingerprints keys take in more
+blocks (`choose`), so that a bucket holds a few unrelated ones whatever their number.
+
+Discards: for any reference r, |d(x, r) - d(y, r)| <= d(x, y); the maximum coordinate differences of the blocks, added
+up, are a lower bound of the distance, and pairs over ``max_bits`` go. The fingerprints themselves verify the survivors.
 
 Only distinct fingerprints are compared, and a bucket gives out a spanning forest of its links, never its pairs.
-Buckets over ``BUCKET`` fingerprints take another exact way: two fingerprints within 4 bits have a common point
-within 2 bits of both, so each hot fingerprint is attached to its 2,081 points within 2 bits, and a point holds at
-most 2,081 fingerprints.
+Buckets over ``BUCKET`` fingerprints, which only a dense cluster fills, take another exact way: two fingerprints within
+4 bits have a common point within 2 bits of both, so each hot fingerprint is attached to its 2,081 points within 2
+bits, and a point holds at most 2,081 fingerprints.
 """
 
 from __future__ import annotations
@@ -25,21 +29,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, as_binary, batch, components, with_rid
+from .exchange import step
+
+SEED, REFS, BUCKET = 42, 12, 4096
+#: Unrelated fingerprints that a bucket may hold, and the blocks of a key at most (210 keys for each fingerprint then).
+EXPECTED, MOST_INTACT = 32, 6
+
 
-SEED, BLOCKS, REFS, BUCKET = 42, 6, 12, 4096
+def choose(n: int, max_bits: int) -> int:
+    """Blocks of a key, two or more, for ``n`` distinct fingerprints: their 64 * k / (max_bits + k) bits tell the
+    unrelated ones apart but for EXPECTED."""
+    k = 2
+    while k < MOST_INTACT and n > EXPECTED * 2 ** (64 * k / (max_bits + k)):
+        k += 1
+    return k
 
 
-def _layout(max_bits: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each block: two blocks more than the bits that may differ."""
-    n = max_bits + 2
+def _layout(max_bits: int, intact: int = 2) -> list[tuple[int, int]]:
+    """(first bit, width) of each block: ``intact`` blocks more than the bits that may differ."""
+    n = max_bits + intact
     cuts = [round(64 * j / n) for j in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def references(max_bits: int = 4) -> list[list[int]]:
+def references(max_bits: int = 4, intact: int = 2) -> list[list[int]]:
     """For each block, reference fingerprints whose distances tell any two contents of the block apart."""
     rng, out = np.random.default_rng(SEED), []
-    for first, width in _layout(max_bits):
+    for first, width in _layout(max_bits, intact):
         while True:
             signs = rng.integers(0, 2, (max(REFS, width), width)) * 2 - 1
             if np.linalg.matrix_rank(signs) == width:
@@ -86,17 +102,37 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(*keys, "raw").mapInArrow(run, f"{schema}, fp bigint")
 
 
-def _bound(x: np.ndarray, y: np.ndarray, refs: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Lower bound of the Hamming distances of x and y from their distances to the references of every block."""
-    total = np.zeros(len(x), np.int64)
-    for block, mask in zip(refs, masks):
-        a = np.bitwise_count((x[:, None] ^ block) & mask).astype(np.int8)
-        total += np.abs(a - np.bitwise_count((y[:, None] ^ block) & mask).astype(np.int8)).max(1)
-    return total
+def _pivots(max_bits: int, intact: int):
+    """The pivot table: part, fingerprint, vector of distances (a byte each, block by block), and its buckets."""
+    refs = [np.array(r, np.uint64) for r in references(max_bits, intact)]
+    masks = [np.uint64(((1 << w) - 1) << a) for a, w in _layout(max_bits, intact)]
 
+    def run(batches):
+        for b in batches:
+            fp, part = b.column("fp").to_numpy().view(np.uint64), b.column("part").to_numpy().astype(np.uint64)
+            near = [np.bitwise_count((fp[:, None] ^ r) & m) for r, m in zip(refs, masks)]
+            codes = []
+            for v in near:  # all coordinates of a block as one name
+                code = np.zeros(len(fp), np.uint64)
+                for c in v.T:
+                    code = step(code, c.astype(np.uint64))
+                codes.append(code)
+            buckets = np.zeros((len(fp), 0), np.uint64)
+            for t, chosen in enumerate(combinations(range(len(codes)), intact)):
+                key = step(part, np.full(len(fp), t, np.uint64))
+                for i in chosen:
+                    key = step(key, codes[i])
+                buckets = np.concatenate([buckets, key[:, None]], 1)
+            rows = np.concatenate(near, 1)
+            offsets = np.arange(len(fp) + 1, dtype=np.int32) * buckets.shape[1]
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("fp"), pa.array([r.tobytes() for r in rows], pa.binary()), keys], names=["part", "fp", "vector", "buckets"])
 
-def _forest(fp: np.ndarray, first: np.ndarray, last: np.ndarray, max_bits: int, refs, masks):
-    """Links (i, j) that span the linked fingerprints of each bucket [first, last)."""
+    return run
+
+
+def _forest(fp: np.ndarray, vector: np.ndarray, first: np.ndarray, last: np.ndarray, max_bits: int, edges: np.ndarray):
+    """Links (i, j) that span the linked fingerprints of each bucket [first, last). ``edges``: where blocks begin in a vector."""
     parent: dict[int, int] = {}
 
     def root(i: int) -> int:
@@ -114,8 +150,8 @@ def _forest(fp: np.ndarray, first: np.ndarray, last: np.ndarray, max_bits: int,
         at, end = at[live], end[live]
         for k in range(0, len(at), 1 << 15):
             i = at[k : k + (1 << 15)]
-            ok = _bound(fp[i], fp[i + d], refs, masks) <= max_bits
-            i = i[ok]
+            apart = np.abs(vector[i] - vector[i + d])
+            i = i[np.maximum.reduceat(apart, edges, axis=1).sum(1) <= max_bits]
             i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= max_bits]
             for a in i.tolist():
                 if (r := root(a)) != (s := root(a + d)):
@@ -125,15 +161,16 @@ def _forest(fp: np.ndarray, first: np.ndarray, last: np.ndarray, max_bits: int,
     return out
 
 
-def _links(max_bits: int, most: int):
+def _links(max_bits: int, intact: int, most: int):
     schema = pa.schema([("part", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("hot", pa.bool_())])
-    refs = [np.array(r, np.uint64) for r in references(max_bits)]
-    masks = np.array([((1 << w) - 1) << a for a, w in _layout(max_bits)], np.uint64)
+    sizes = [len(r) for r in references(max_bits, intact)]
+    edges, wide = np.cumsum([0, *sizes[:-1]]), sum(sizes)
 
     def run(batches):
-        key, part, fp, hot = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64), None  # the last bucket so far; hot: it is over the bound
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros((0, wide), np.int8)]
+        hot = None  # the bucket that is over the bound and has been given out in part
 
-        def settle(key, part, fp, closed):
+        def settle(key, part, fp, vector, closed):
             nonlocal hot
             edge = np.flatnonzero(np.diff(key)) + 1
             first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
@@ -146,44 +183,39 @@ def _links(max_bits: int, most: int):
                 hot, shut[-1] = key[-1], True
             at = np.concatenate([np.arange(a, b) for a, b in zip(first[many], last[many])]) if many.any() else np.zeros(0, np.int64)
             use = shut & ~many & (last - first > 1)
-            pairs = np.array(_forest(fp, first[use], last[use], max_bits, refs, masks), np.int64).reshape(-1, 2)
+            pairs = np.array(_forest(fp, vector, first[use], last[use], max_bits, edges), np.int64).reshape(-1, 2)
             a, b = fp[pairs[:, 0]].view(np.int64), fp[pairs[:, 1]].view(np.int64)
             hots = fp[at].view(np.int64)
             rows = batch(schema, np.concatenate([part[pairs[:, 0]], part[at]]), np.concatenate([a, hots]), np.concatenate([b, hots]), np.arange(len(a) + len(hots)) >= len(a))
             keep = last[-1] if shut[-1] else first[-1]
-            return key[keep:], part[keep:], fp[keep:], rows
+            return [x[keep:] for x in (key, part, fp, vector)], rows
 
         for b in batches:
-            key = np.concatenate([key, b.column("bucket").to_numpy()])
-            part = np.concatenate([part, b.column("part").to_numpy()])
-            fp = np.concatenate([fp, b.column("fp").to_numpy().view(np.uint64)])
-            if len(key):
-                key, part, fp, rows = settle(key, part, fp, False)
+            vector = np.frombuffer(b"".join(b.column("vector").to_pylist()), np.int8).reshape(-1, wide)
+            fresh = [b.column("bucket").to_numpy(), b.column("part").to_numpy(), b.column("fp").to_numpy().view(np.uint64), vector]
+            held = [np.concatenate(x) for x in zip(held, fresh)]
+            if len(held[0]):
+                held, rows = settle(*held, False)
                 yield rows
-        if len(key):
-            yield settle(key, part, fp, True)[3]
+        if len(held[0]):
+            yield settle(*held, True)[1]
 
     return run
 
 
-def link_fingerprints(distinct: DataFrame, max_bits: int = 4, most: int = BUCKET, scratch: Scratch | None = None) -> DataFrame:
-    """(part, a, b): links that connect exactly the fingerprints ``fp`` of a ``part`` (distinct, int and long) within ``max_bits`` bits."""
+def link_fingerprints(distinct: DataFrame, max_bits: int = 4, most: int = BUCKET, scratch: Scratch | None = None, intact: int | None = None) -> DataFrame:
+    """(part, a, b): links that connect exactly the fingerprints ``fp`` of a ``part`` (distinct, int and long) within
+    ``max_bits`` bits (4 at most). ``intact``: blocks of a key; by default they follow from the number of fingerprints."""
+    if not 0 <= max_bits <= 4:
+        raise ValueError("max_bits is 4 at most")
     scratch = scratch or Scratch(distinct.sparkSession, "simhash")
-    keys = []
-    for (first, width), block in zip(_layout(max_bits), references(max_bits)):
-        mask = ((1 << width) - 1) << first
-        signed = lambda v: v - (1 << 64) if v >> 63 else v
-        near = [F.shiftleft(F.bit_count((F.col("fp").bitwiseXOR(F.lit(signed(r)))).bitwiseAND(F.lit(signed(mask)))).cast("long"), 5 * i) for i, r in enumerate(block)]
-        keys.append(sum(near[1:], near[0]))
-    tables = [F.xxhash64(F.col("part"), F.lit(t), F.col(f"k{i}"), F.col(f"k{j}")) for t, (i, j) in enumerate(combinations(range(len(keys)), 2))]
-    coded = distinct.select("part", "fp", *(k.alias(f"k{i}") for i, k in enumerate(keys)))
-    dealt = coded.select("part", "fp", F.explode(F.array(*tables)).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket")
-    found = scratch.save(dealt.mapInArrow(_links(max_bits, most), "part int, a bigint, b bigint, hot boolean").distinct(), "found")
+    intact = intact or choose(distinct.count(), max_bits)
+    table = scratch.save(distinct.select("part", "fp").mapInArrow(_pivots(max_bits, intact), "part int, fp bigint, vector binary, buckets array<bigint>"), "pivots")
+    dealt = table.select("part", "fp", "vector", F.explode("buckets").alias("bucket")).repartition("bucket").sortWithinPartitions("bucket")
+    found = scratch.save(dealt.mapInArrow(_links(max_bits, intact, most), "part int, a bigint, b bigint, hot boolean").distinct(), "found")
     hot = found.where("hot").select("part", F.col("a").alias("fp")).distinct()
     bits = [1 << i for i in range(64)]
     flips = [0, *bits, *(a | b for a, b in combinations(bits, 2))] if max_bits > 2 else [0, *bits]
-    if max_bits > 4:
-        raise ValueError("max_bits is 4 at most")
     ball = hot.select("part", "fp", F.explode(F.transform(F.array(*(F.lit(v - (1 << 64) if v >> 63 else v) for v in flips)), lambda m: m.bitwiseXOR(F.col("fp")))).alias("point")) if not hot.isEmpty() else None
     links = found.where("not hot").select("part", "a", "b")
     if ball is None:
