@@ -328,13 +328,12 @@ def _spanning(sketch: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(again: bool):
+def _candidates():
     """(a, b, bucket) of (bucket, node, sketch) sorted by bucket. Buckets of FEW nodes give all pairs whose sketches
-    allow the similarity, and no bucket; larger ones a spanning forest of them. ``again``: all such pairs of different
-    ``component``."""
+    allow the similarity, and no bucket; larger ones a spanning forest of them."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64())])
 
-    def pairs(first, last, sketch, comp):
+    def pairs(first, last, sketch):
         """All pairs of the buckets [first, last) that may be similar."""
         size = last - first
         end, d = np.repeat(last, size), 1
@@ -345,16 +344,16 @@ def _candidates(again: bool):
             at, end = at[live], end[live]
             for k in range(0, len(at), 1 << 15):
                 i = at[k : k + (1 << 15)]
-                i = i[((sketch[i] == sketch[i + d]).sum(1) >= NEAR) & (comp[i] != comp[i + d])]
+                i = i[(sketch[i] == sketch[i + d]).sum(1) >= NEAR]
                 found.append(np.stack([i, i + d], 1))
             d += 1
         return np.concatenate(found)
 
-    def settle(key, node, comp, sketch):
+    def settle(key, node, sketch):
         edge = np.flatnonzero(np.diff(key)) + 1
         first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
-        few = (last - first > 1) & (again | (last - first <= FEW))
-        at, bucket = pairs(first[few], last[few], sketch, comp), []
+        few = (last - first > 1) & (last - first <= FEW)
+        at, bucket = pairs(first[few], last[few], sketch), []
         rows = [at]
         for a, b in zip(first[~few & (last - first > 1)], last[~few & (last - first > 1)]):
             rows.append(np.array(_spanning(sketch[a:b]), np.int64).reshape(-1, 2) + a)
@@ -364,9 +363,9 @@ def _candidates(again: bool):
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([None] * len(rows[0]) + bucket, pa.int64())], schema=schema)
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 3 + [np.zeros((0, SKETCH), np.uint8)]
+        held = [np.zeros(0, np.int64)] * 2 + [np.zeros((0, SKETCH), np.uint8)]
         for b in batches:
-            fresh = [b.column(c).to_numpy() for c in ("bucket", "node", "component")] + [np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)]
+            fresh = [b.column(c).to_numpy() for c in ("bucket", "node")] + [np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)]
             held = [np.concatenate(x) for x in zip(held, fresh)]
             if len(held[0]) and (cut := int(np.flatnonzero(held[0] == held[0][-1])[0])):
                 yield settle(*(x[:cut] for x in held))
@@ -377,19 +376,78 @@ def _candidates(again: bool):
     return run
 
 
+#: Bytes of shingle hashes that a task compares with one another at most, but for a single larger text.
+TILE = 1 << 25
+
+
+def _linked(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of a similarity of 0.8 or more that join all components they can join; each by both whole sets.
+
+    Common shingles are counted through a list of the members that have each: a member is compared with all others at
+    once. Those of the largest component need not ask, for others ask them."""
+    names, inverse = np.unique(comp, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    sizes = np.array([len(h) for h in sets])
+    shingle, code = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    order = np.argsort(code, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), sizes)[order]
+    first = np.searchsorted(code[order], np.arange(len(shingle) + 1))
+    most, out = np.bincount(inverse).argmax(), []
+    for i in np.flatnonzero(inverse != most).tolist():
+        mine = code[begin[i] : begin[i] + sizes[i]]
+        if not len(mine):
+            continue
+        count = first[mine + 1] - first[mine]
+        at = np.repeat(first[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        for j in np.flatnonzero(5 * both >= 4 * (sizes + sizes[i] - both)).tolist():
+            if (a := root(inverse[i])) != (b := root(inverse[j])):
+                parent[a] = b
+                out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def _links_of_tiles(batches):
+    """(a, b) of (bucket, x, y, node, component, hashes) sorted by the first three."""
+    held: list[tuple] = []
+
+    def settle():
+        links = _linked(np.array([r[3] for r in held]), np.array([r[4] for r in held]), [np.frombuffer(r[5], np.uint64) for r in held])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for b in batches:
+        for r in zip(*(b.column(c).to_pylist() for c in ("bucket", "x", "y", "node", "component", "hashes"))):
+            if held and held[0][:3] != r[:3]:
+                yield settle()
+                held = []
+            held.append(r)
+    if held:
+        yield settle()
+
+
 def similar_documents(docs: DataFrame, rid_col: str, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """(rid, keep): one row of each group of documents is kept; links are shingle similarities of 0.8 or more.
 
     One fingerprint of 64 bits cannot tell a similarity of 0.8, which changes ten bits, from chance among many
     documents. So a text has PARTS fingerprints of small parts; texts with an equal one meet in a bucket. Candidates
     are the pairs there whose sketches allow 0.8, and each one's similarity is computed from both texts before it
-    links. A large bucket gives a spanning forest of its candidates; only where one of those proves too low, it gives
-    all pairs of different components in a second round, so no candidate is lost. Equal sets of shingles are one node.
-    The row kept has the smallest id, then row id; null ids come last; null text is empty; texts without words are
-    copies of each other.
+    links. A large bucket gives a spanning forest of its candidates; only where one of those proves too low, all its
+    members' whole sets of shingles come together, TILE bytes against TILE bytes, and give the links between different
+    components, so no link is lost and no pairs are given out. Equal sets of shingles are one node. The row kept has
+    the smallest id, then the least set, then row id; null ids come last; null text is empty; texts without words are
+    copies of each other. Repeated rows are judged like any other, an empty table gives an empty result, and other
+    columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "similar")
-    rows = docs.select(F.col(rid_col).alias("rid"), F.col(id_col).alias("doc_id"), as_binary(F.col(text_col)).alias("raw"))
+    rows = docs.select(F.col(f"`{rid_col}`").alias("rid"), F.col(f"`{id_col}`").alias("doc_id"), as_binary(F.col(f"`{text_col}`")).alias("raw"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def prints(batches):
@@ -403,19 +461,20 @@ def similar_documents(docs: DataFrame, rid_col: str, id_col: str = "doc_id", tex
                 sketch.append(_sketch(h))
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["rid", "doc_id", "node", "buckets", "sketch"])
 
+    def whole_sets(batches):
+        for b in batches:
+            sets = [np.unique(shingles(raw, words)).tobytes() for raw in b.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
     def verify(batches):
         for b in batches:
             ok = [similar(*(np.unique(shingles(x, words)) for x in both)) for both in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     sets = scratch.save(rows.mapInArrow(prints, f"rid bigint, doc_id {kind}, node bigint, buckets array<bigint>, sketch binary"), "sets")
-    nodes = scratch.save(sets.groupBy("node").agg(F.min("rid").alias("rid"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")), "nodes")
+    nodes = scratch.save(sets.groupBy("node").agg(F.min("rid").alias("rid"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "rid")).alias("best")), "nodes")
     dealt = sets.join(nodes.select("rid"), "rid", "left_semi").select("node", "sketch", F.explode("buckets").alias("bucket"))
 
-    def candidates(members: DataFrame, again: bool, name: str) -> DataFrame:
-        met = members.select("bucket", "node", "component", "sketch").repartition("bucket").sortWithinPartitions("bucket", "node")
-        return scratch.save(met.mapInArrow(_candidates(again), "a bigint, b bigint, bucket bigint"), name)
-
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """(a, b, ok) of distinct pairs, by the texts of both."""
         wanted = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").select("rid", "node")
@@ -425,15 +484,22 @@ def similar_documents(docs: DataFrame, rid_col: str, id_col: str = "doc_id", tex
         scratch.drop(f"texts-{name}")
         return out
 
-    found = candidates(dealt.withColumn("component", F.col("node")), False, "found")
+    met = dealt.select("bucket", "node", "sketch").repartition("bucket").sortWithinPartitions("bucket", "node")
+    found = scratch.save(met.mapInArrow(_candidates(), "a bigint, b bigint, bucket bigint"), "found")
     seen = verified(found.select("a", "b").distinct(), "first")
     links = seen.where("ok").select("a", "b")
     comp = scratch.save(components(links, scratch), "components")
     wrong = scratch.save(found.where("bucket is not null").join(seen.where("not ok"), ["a", "b"], "left_semi").select("bucket").distinct(), "wrong")
     if not wrong.isEmpty():
-        members = dealt.join(wrong, "bucket", "left_semi").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rest = candidates(members, True, "rest").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
-        more = verified(scratch.save(rest, "untested"), "second")
-        comp = scratch.save(components(links.union(more.where("ok").select("a", "b")), scratch), "components-all")
+        of = dealt.select("bucket", "node").join(wrong, "bucket", "left_semi").join(comp, "node", "left")
+        members = scratch.save(of.select("bucket", "node", F.coalesce("component", "node").alias("component")), "members")
+        wanted = nodes.join(members.select("node").distinct(), "node").select("rid", "node")
+        whole = scratch.save(rows.select("rid", "raw").join(wanted, "rid").select("node", "raw").mapInArrow(whole_sets, "node bigint, hashes binary"), "whole")
+        bytes_ = members.join(whole.select("node", F.octet_length("hashes").alias("n")), "node").groupBy("bucket").agg(F.sum("n").alias("n"))
+        tiles = members.join(bytes_.select("bucket", F.expr(f"cast(n div {TILE} + 1 as int)").alias("tiles")), "bucket")
+        tiles = tiles.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+        tiles = tiles.select("bucket", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "node", "component").join(whole, "node")
+        more = tiles.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(_links_of_tiles, "a bigint, b bigint")
+        comp = scratch.save(components(links.union(scratch.save(more.distinct(), "more")), scratch), "components-all")
     first = nodes.join(comp, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("best").alias("best")).select(F.col("best.rid").alias("first"))
     return sets.join(first, sets.rid == F.col("first"), "left").select("rid", F.col("first").isNotNull().alias("keep"))

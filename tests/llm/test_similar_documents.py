@@ -72,3 +72,18 @@ def test_stage_against_the_exact_graph(spark, sf):
     assert sorted(r.doc_id for r in second.collect()) == want and second.columns == docs.columns
     fourth = pipeline.source_mixing(spark, second, sf)
     assert fourth.columns == docs.columns and {r.doc_id for r in fourth.collect()} <= set(want)
+
+
+def test_members_of_a_large_group_in_tiles(spark, monkeypatch):
+    """A large group of which few pairs are similar: every link is found, whatever the tiles, and none by a pair given out."""
+    rng, base = np.random.default_rng(11), [f"b{i}" for i in range(150)]
+    texts = []
+    for k in range(250):
+        w = list(base)
+        for at in rng.choice(150, rng.integers(0, 16), replace=False):
+            w[at] = f"e{k}-{at}"
+        texts.append(" ".join(w))
+    want = exact(texts)
+    assert 1 < len(want) < 200 and kept(spark, texts) == want
+    monkeypatch.setattr(simhash, "TILE", 1 << 15)
+    assert kept(spark, texts) == want
