@@ -37,9 +37,8 @@ def group_aggregate(expression: DataFrame, cells: DataFrame, genes: DataFrame, m
     rows, method = zero_inflated(expression, cells, genes), MeanMethod(method)
     keys = [*extra_keys(cells), "gene", "group_name"]
     if method in (MeanMethod.TRI_MEAN, MeanMethod.MEDIAN):
-        q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)) if method is MeanMethod.TRI_MEAN else F.lit(0.5), F.col("freq"))
-        out = rows.groupBy(*keys).agg(q.alias("q"))
-        return out.select(*keys, ((F.col("q")[0] + 2 * F.col("q")[1] + F.col("q")[2]) / 4 if method is MeanMethod.TRI_MEAN else F.col("q")).alias("avg"))
+        q = quantiles(rows, keys, (0.25, 0.5, 0.75) if method is MeanMethod.TRI_MEAN else (0.5,))
+        return q.select(*keys, ((F.col("q0") + 2 * F.col("q1") + F.col("q2")) / 4 if method is MeanMethod.TRI_MEAN else F.col("q0")).alias("avg"))
     n, total = F.sum("freq"), F.sum(F.col("value") * F.col("freq"))
     if method is MeanMethod.MEAN:
         return rows.groupBy(*keys).agg((total / n).alias("avg"))
@@ -49,6 +48,23 @@ def group_aggregate(expression: DataFrame, cells: DataFrame, genes: DataFrame, m
     return truncated_mean(rows, keys, trim)
 
 
+def quantiles(rows: DataFrame, keys: list[str], at: tuple[float, ...]) -> DataFrame:
+    """(keys.., q0, q1, ..): interpolated quantiles of (value, freq). Running sums over a sort, which spills, instead of
+    a buffer of all distinct values."""
+    group = Window.partitionBy(*keys)
+    upto = F.sum("freq").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = rows.withColumn("upto", upto).withColumn("n", F.sum("freq").over(group))
+    out = []
+    for i, f in enumerate(at):
+        h = F.lit(f) * (F.col("n") - 1)
+        low = F.floor(h)
+        first = F.min(F.when(F.col("upto") > low, F.col("value")))
+        second = F.min(F.when(F.col("upto") > F.least(low + 1, F.col("n") - 1), F.col("value")))
+        part = F.first(h - low)
+        out.append(((1 - part) * first + part * second).alias(f"q{i}"))
+    return ranked.groupBy(*keys).agg(*out)
+
+
 def truncated_mean(rows: DataFrame, keys: list[str], trim: float) -> DataFrame:
     """Mean between the ranks that ``trim`` of the values at either end leave; the middle value if it leaves none."""
     group = Window.partitionBy(*keys)

@@ -36,4 +36,7 @@ def signaling_genes(db: Database, genes: DataFrame, features: list[str] | None =
 
 
 def subset_expression(expression: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` genes; ValueError if there are none to want."""
+    if wanted.isEmpty():
+        raise ValueError("no measured gene is in the knowledge base")
     return expression.join(wanted.select("gene"), "gene", "left_semi")

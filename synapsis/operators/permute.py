@@ -68,10 +68,11 @@ def sorted_gene_kernel(expression: DataFrame, cells: DataFrame, genes: DataFrame
     labels = cells.where("group_name is not null").orderBy("cell_id").toPandas()
     names, codes = np.unique(labels.group_name.to_numpy(str), return_inverse=True)
     ids = labels.cell_id.to_numpy()
-    table = np.empty((p.nboot + 1, len(ids)), np.int16)
+    kind = np.int16 if len(names) <= 1 << 15 else np.int32
+    table = np.empty((p.nboot + 1, len(ids)), kind)
     table[0] = codes
     spark = expression.sparkSession
-    base = codes[_order(ids, p.seed, "base")].astype(np.int16)
+    base = codes[_order(ids, p.seed, "base")].astype(kind)
     first = spark.sparkContext.broadcast((ids, base))
 
     def labels_of(batches):  # a permutation is a task's sort of ids; its labels come back as two bytes a cell
@@ -79,14 +80,14 @@ def sorted_gene_kernel(expression: DataFrame, cells: DataFrame, genes: DataFrame
             ids, base = first.value
             out = []
             for k in b.column("id").to_pylist():
-                row = np.empty(len(ids), np.int16)
+                row = np.empty(len(ids), kind)
                 row[_order(ids, p.seed, k)] = base
                 out.append(row.tobytes())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], names=["id", "labels"])
 
     drawn = spark.range(p.nboot).repartition(max(p.nboot, 1)).mapInArrow(labels_of, "id bigint, labels binary").toArrow()  # LABEL_BYTES at most
     for k, row in zip(drawn["id"].to_pylist(), drawn["labels"]):
-        table[k + 1] = np.frombuffer(row.as_buffer(), np.int16)
+        table[k + 1] = np.frombuffer(row.as_buffer(), kind)
     sizes = np.bincount(codes, minlength=len(names))
     shared = spark.sparkContext.broadcast((ids, table))
     quantiles = (0.25, 0.5, 0.75) if p.mean_method.value == "triMean" else (0.5,)
@@ -126,9 +127,11 @@ def sorted_gene_kernel(expression: DataFrame, cells: DataFrame, genes: DataFrame
 LABEL_BYTES = 256 << 20
 
 
-def commun_prob(data: Dataset, db: Database, p: Params = Params(), plan: str = "auto") -> DataFrame:
+def commun_prob(data: Dataset, db: Database, p: Params = Params(), plan: str = "auto", p_spatial: DataFrame | None = None) -> DataFrame:
     """(source, target, lr_id, prob, pval) over all pairs of groups and ligand-receptor pairs.
 
+    ``p_spatial(source, target, p)`` is a factor between groups, of the observed and the permuted scores alike.
+
     plan "sql" carries a row for each value and permutation; "kernel" sorts each gene once (quantile methods, labels
     within LABEL_BYTES); "auto" takes the kernel where it can.
     """
@@ -142,5 +145,5 @@ def commun_prob(data: Dataset, db: Database, p: Params = Params(), plan: str = "
         avgs = group_aggregate(expression, permuted_labels(cells, p.nboot, p.seed, observed=True), data.genes, p.mean_method, p.trim)
     shares = population_shares(cells) if p.population_size else None
     sides = settle(lr_expression(settle(avgs), db, p))  # genes, then pairs, x groups x permutations: read many times
-    scores = probability(sides, p, shares, digits=DIGITS)
+    scores = probability(sides, p, shares, p_spatial, DIGITS)
     return reject_share(scores, ["source", "target", "lr_id"], p.nboot or 1)

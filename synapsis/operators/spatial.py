@@ -131,8 +131,8 @@ def spot_prob(prob: DataFrame, proportions: DataFrame, avg: bool = True) -> Data
 
 def spot_test(prob: DataFrame, proportions: DataFrame, avg: bool = True, nboot: int = 100, seed: int = 1) -> DataFrame:
     """(source, target, lr_id, prob, pval): types are permuted among themselves."""
-    types = proportions.select("type").distinct()
-    numbered = types.select(F.hash("type").cast("bigint").alias("cell_id"), F.col("type").alias("group_name"))
+    # numbers by name, so that no two types share one; a type for each task would be a lot of types
+    numbered = proportions.select("type").distinct().select((F.row_number().over(Window.orderBy("type")) - 1).cast("bigint").alias("cell_id"), F.col("type").alias("group_name"))
     swaps = permuted_labels(numbered, nboot, seed, observed=True).join(numbered.select("cell_id", F.col("group_name").alias("type")), "cell_id").select("perm", "type", F.col("group_name").alias("to"))
     relabelled = proportions.join(swaps, "type").select("perm", "spot_id", F.col("to").alias("type"), "w")
     return _share(spot_prob(prob, relabelled, avg), ["source", "target", "lr_id"], nboot)
@@ -182,8 +182,12 @@ def region_distance(coords: DataFrame, cells: DataFrame, ratio: float = 1.0, bin
     return out.unionByName(own)
 
 
-def colocalization(coords: DataFrame, cells: DataFrame, radius: float, nboot: int = 20, seed: int = 1) -> DataFrame:
-    """(source, target, n, pval): ordered pairs of cells within ``radius``, each with itself included, tested by shuffled labels."""
+def colocalization(coords: DataFrame, cells: DataFrame, radius: float | None = None, nboot: int = 20, seed: int = 1) -> DataFrame:
+    """(source, target, n, pval): ordered pairs of cells within ``radius``, each with itself included, tested by shuffled labels.
+
+    Without a ``radius`` it is the median distance of all pairs (`median_radius`), so half of them count.
+    """
+    radius = median_radius(coords) if radius is None else radius
     own = coords.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"))
     near = settle(range_pairs(coords, radius).select("src", "dst").unionByName(own))
     labels = settle(permuted_labels(cells, nboot, seed, observed=True))

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in reliable storage, for results that many later steps read.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where it is unset, a local folder serves a local master; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or "file://" + os.path.join(tempfile.gettempdir(), "synapsis-checkpoints")).rstrip("/")
+
 
-    The folder is ``spark.checkpoint.dir``; a local one only where neither that nor a checkpoint folder is set.
-    """
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in reliable storage, for results that many later steps read."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "synapsis-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

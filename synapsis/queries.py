@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import hill, hill_inverse, hill_lut
+from .functions import hill, hill_inverse, hill_lut, register
 from .operators import aggregate, graph, lrdb, model, network, patterns, permute, preprocess, spatial
-from .plans.storage import settle
+from .plans.storage import settle, shared_folder
 from .schema import MeanMethod, Params, SpatialParams
 from .sources import adapter, store
 from .sql import BASE, MODEL, NET, NETP, SPACE, dense_aggregate, with_ctes
@@ -259,6 +259,17 @@ def commun_prob_group_space(spark, d):
     return rounded(model.probability(sides, p_spatial=p), "prob")
 
 
+@query(
+    "SELECT o.source, o.target, o.lr_id, round(o.prob, 6) AS prob, round(count(*) FILTER (s.prob >= o.prob) / 10.0::DOUBLE, 6) AS pval FROM near o JOIN near s ON s.perm >= 0 AND s.source = o.source AND s.target = o.target AND s.lr_id = o.lr_id WHERE o.perm = -1 GROUP BY o.source, o.target, o.lr_id, o.prob",
+    *MODEL(NBOOT),
+    "near AS (SELECT perm, source, target, lr_id, round(prob * CASE WHEN source = target THEN 1 ELSE 0.25 END, 12) AS prob FROM scores)",
+)
+def commun_prob_group_space_test(spark, d):
+    g = groups_of(spark, d)
+    p = g.select(F.col("group_name").alias("source")).join(g.select(F.col("group_name").alias("target"))).withColumn("p", F.when(F.col("source") == F.col("target"), 1.0).otherwise(0.25))
+    return rounded(permute.commun_prob(adapter.dataset(spark, d), adapter.database(spark), Params(nboot=NBOOT, seed=SEED), p_spatial=p), "prob", "pval")
+
+
 # Networks
 
 
@@ -529,7 +540,14 @@ def spot_prob(spark, d):
     return rounded(spatial.spot_prob(prob_cell_of(spark, d), adapter.proportions(spark, d)), "prob")
 
 
-@query()
+@query(
+    "SELECT o.source, o.target, o.lr_id, round(o.prob, 6) AS prob, round((count(*) FILTER (round(s.prob, 9) >= round(o.prob, 9)) + CASE WHEN round(o.prob, 9) <= 0 THEN 5 - count(s.perm) ELSE 0 END) / 5.0::DOUBLE, 6) AS pval FROM soft_scores o LEFT JOIN soft_scores s ON s.perm >= 0 AND s.source = o.source AND s.target = o.target AND s.lr_id = o.lr_id WHERE o.perm = -1 GROUP BY o.source, o.target, o.lr_id, o.prob",
+    *SPACE,
+    "types AS (SELECT type, row_number() OVER (ORDER BY type) - 1 AS id FROM (SELECT DISTINCT type FROM proportions))",
+    "swaps AS (SELECT -1 AS perm, type, type AS moved FROM types UNION ALL SELECT perm, s.type, b.type FROM (SELECT p.perm, type, row_number() OVER (PARTITION BY p.perm ORDER BY md5('1|' || p.perm || '|' || id), id) AS r FROM range(5) p(perm) CROSS JOIN types) s JOIN (SELECT type, row_number() OVER (ORDER BY md5('1|base|' || id), id) AS r FROM types) b USING (r))",
+    "relabelled AS (SELECT perm, spot_id, moved AS type, w FROM proportions JOIN swaps USING (type))",
+    "soft_scores AS (SELECT a.perm, a.type AS source, b.type AS target, lr_id, sum(a.w * prob * b.w) / count(*) AS prob FROM prob_cell c JOIN relabelled a ON a.spot_id = c.src JOIN relabelled b ON b.spot_id = c.dst AND b.perm = a.perm GROUP BY 1, 2, 3, 4)",
+)
 def spot_test(spark, d):
     return rounded(spatial.spot_test(prob_cell_of(spark, d), adapter.proportions(spark, d), nboot=5), "prob", "pval")
 
@@ -562,6 +580,42 @@ def colocalization(spark, d):
     return rounded(spatial.colocalization(adapter.coords(spark, d), adapter.spots(spark, d), 0.05, 5, SEED), "pval")
 
 
+@query(
+    "SELECT round(median(sqrt(d2)), 6) AS radius, count(*) AS n FROM pairs WHERE d2 > 0",
+    *SPACE,
+)
+def median_radius(spark, d):
+    c = adapter.coords(spark, d)
+    pairs = c.join(c.select(F.col("cell_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2")), (F.col("x") != F.col("x2")) | (F.col("y") != F.col("y2")))
+    return rounded(pairs.agg(F.count("*").alias("n")).withColumn("radius", F.lit(spatial.median_radius(c))), "radius")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_discount / (0.5::DOUBLE + l_discount), 6) AS h, round(0.5::DOUBLE / (0.5::DOUBLE + l_discount), 6) AS inverse, round((l_discount + 2 * l_tax + l_quantity) / 4, 6) AS mean FROM lineitem")
+def sql_functions(spark, d):
+    register(spark)
+    adapter.table(spark, d, "lineitem").createOrReplaceTempView("synapsis_lineitem")
+    return rounded(spark.sql("SELECT l_orderkey, l_linenumber, hill(l_discount, 0.5D, 1D) AS h, hill_inverse(l_discount, 0.5D, 1D) AS inverse, tri_mean_of(l_discount, l_tax, l_quantity) AS mean FROM synapsis_lineitem"), "h", "inverse", "mean")
+
+
+@query("SELECT src, dst, contact, 1.0::DOUBLE AS p FROM edges UNION ALL SELECT cell_id, cell_id, false, 1.0::DOUBLE FROM coords", *SPACE)
+def p_spatial_without_distance(spark, d):
+    c = adapter.coords(spark, d)
+    return spatial.p_spatial(spatial.cell_edges(c, SPACING), c, SPACING, distance_use=False)
+
+
+@query("SELECT src, dst, contact, round(CASE WHEN src = dst THEN 2 ELSE p END, 6) AS p FROM p_spatial", *SPACE)
+def p_spatial_self_value(spark, d):
+    c = adapter.coords(spark, d)
+    return rounded(spatial.p_spatial(spatial.cell_edges(c, SPACING), c, SPACING, self_value=2.0), "p")
+
+
+@query("SELECT gene, group_name, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest(['size', 'price']) AS gene, unnest([p_size::DOUBLE, p_retailprice]) AS value, p_brand AS group_name FROM part) WHERE value <> 0 GROUP BY 1, 2")
+def wide_dataset(spark, d):
+    part = adapter.table(spark, d, "part")
+    data = store.from_wide(part.select(F.col("p_partkey").alias("cell_id"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price")), "brand")
+    return rounded(data.expression.join(data.cells, "cell_id").groupBy("gene", "group_name").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total", digits=4)
+
+
 @query("SELECT group_name, round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS n FROM coords JOIN spots USING (cell_id) GROUP BY 1", *SPACE)
 def centroids(spark, d):
     return rounded(spatial.centroids(adapter.coords(spark, d), adapter.spots(spark, d)), "x", "y")
@@ -638,7 +692,7 @@ def stream_group_stats(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
     name = "stats_" + uuid.uuid4().hex
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/synapsis-checkpoints"
+    base = shared_folder(spark)
     out = group_stats.snapshot(group_stats.windowed_stats(stream, "ts", "event_type", "value"), name, f"{base}/{name}")
     out = out.select(F.unix_timestamp("start").alias("start"), "group", "n", "nonzero", F.round("total", 4).alias("total"), "mean", "thresholded")
     return rounded(out, "mean", "thresholded")
@@ -648,7 +702,7 @@ def stream_group_stats(spark, d):
 def saved_results(spark, d):
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/synapsis-checkpoints"
+    base = shared_folder(spark)
     path = f"{base}/saved-{uuid.uuid4().hex}"
     store.save(path, net_of(spark, d), lr_of(spark), adapter.cells(spark, d))
     return rounded(store.load(spark, path)["net_agg"], "weight")
