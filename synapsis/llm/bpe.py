@@ -189,7 +189,7 @@ class Encoder:
     """Encodes texts; remembers the ids of short pre-tokens within a bound."""
 
     def __init__(self, table: Merges):
-        self.table, self.known = table, {}
+        self.table, self.known, self.said = table, {}, {}
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(table.special, key=len, reverse=True)) + ")") if table.special else None
 
     def of(self, pre: str) -> tuple[int, ...]:
@@ -202,6 +202,16 @@ class Encoder:
             self.known[pre] = ids
         return ids
 
+    def part(self, pre: str) -> tuple[int, str, bytes]:
+        """(ids, the ids as text, the bytes they stand for) of one pre-token."""
+        ids = _long(self, pre)
+        out = len(ids), ",".join(map(str, ids)), b"".join(map(self.table.of.__getitem__, ids))
+        if len(pre) <= SHORT:
+            if len(self.said) >= REMEMBER:
+                self.said.clear()
+            self.said[pre] = out
+        return out
+
     def stream(self, text: str) -> Iterator[tuple[int, ...]]:
         """The ids of ``text``, a few at a time; special strings in it become special tokens."""
         known = self.known
@@ -230,7 +240,12 @@ class Decoder:
         self.of, self.machine = table.of, codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        return self.machine.decode(b"".join([self.of.get(i, b"") for i in ids]))
+        ids = list(ids)
+        try:
+            raw = b"".join(map(self.of.__getitem__, ids))
+        except KeyError:
+            raw = b"".join([self.of.get(i, b"") for i in ids])
+        return self.machine.decode(raw)
 
     def finish(self) -> str:
         return self.machine.decode(b"", True)
@@ -250,7 +265,7 @@ def encoder(path: str) -> Encoder:
 def _digests(e: Encoder, text: str) -> tuple[int, str, str]:
     """(tokens, SHA-256 of the ids, SHA-256 of what they decode to), a stretch of ids at a time."""
     ids_sha, text_sha, decoder, n, held, sep = hashlib.sha256(), hashlib.sha256(), Decoder(e.table), 0, [], ""
-    known, table = e.known, e.table
+    table = e.table
 
     def flush():
         nonlocal n, sep
@@ -261,14 +276,16 @@ def _digests(e: Encoder, text: str) -> tuple[int, str, str]:
         held.clear()
 
     plain = len(text) < 1 << 16 and not any(s in text for s in table.special) and classed(text) is text
-    if plain:  # the same as stream(), with less per pre-token
-        for pre in PATTERN.findall(text):
-            held += known.get(pre) or (e.of(pre) if len(pre) <= 4 * SHORT else _long(e, pre))
-    else:
-        for ids in e.stream(text):
-            held += ids
-            if len(held) > 1 << 14:
-                flush()
+    if plain:  # the same as stream(), with less per pre-token: what is remembered is ids and bytes as they go into the digests
+        known = e.said.get
+        found = [known(pre) or e.part(pre) for pre in PATTERN.findall(text)]
+        ids_sha.update(",".join([x[1] for x in found]).encode())
+        text_sha.update((decoder.machine.decode(b"".join([x[2] for x in found])) + decoder.finish()).encode())
+        return sum([x[0] for x in found]), ids_sha.hexdigest(), text_sha.hexdigest()
+    for ids in e.stream(text):
+        held += ids
+        if len(held) > 1 << 14:
+            flush()
     if held:
         flush()
     text_sha.update(decoder.finish().encode())
