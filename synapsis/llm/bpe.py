@@ -84,6 +84,12 @@ class Merges:
             if self.of[a] in self.token and self.of[b] in self.token and self._first_join(a, b) == (a, b):
                 self.token[self.of[whole]] = whole
         self.longest = max(map(len, self.token))
+        #: Lengths of the tokens that end in two given bytes, longest first, and one for any byte.
+        ends: dict[bytes, set[int]] = {}
+        for raw_ in self.token:
+            if len(raw_) > 1:
+                ends.setdefault(raw_[-2:], {1}).add(len(raw_))
+        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         #: Bytes behind a token's end that always suffice to tell whether it stays.
         self.lookahead = self.longest - 1
 
@@ -143,12 +149,11 @@ class Transducer:
         return out
 
     def _extend(self, part: bytes) -> None:
-        table, token, apart, last, n = self.table, self.table.token, self.table.apart, self.last, len(self.buf)
+        token, apart, last, n, ends = self.table.token, self.table.apart, self.last, len(self.buf), self.table.ends
         self.buf = buf = self.buf + part
-        longest = table.longest
         for i in range(n + 1, len(buf) + 1):
-            for size in range(min(i, longest), 0, -1):
-                t = token.get(buf[i - size : i])
+            for size in ends.get(buf[i - 2 : i], (1,)) if i > 1 else (1,):
+                t = token.get(buf[i - size : i]) if size <= i else None
                 if t is not None:
                     prev = last[i - size - 1][0] if i > size else self.before
                     if prev is None or apart(prev, t):
