@@ -30,6 +30,8 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 #: The pattern's classes are those of Unicode 15; later letters and numbers are in neither class there.
 BEYOND = regex.compile("[\\u0530-\U0010ffff]")
 INFINITE = 1 << 60
+#: Bytes of text that pick the tokens which may end there.
+TAIL = 4
 #: Distinct pre-tokens a worker remembers, of this many bytes at most; older ones are forgotten all at once.
 REMEMBER, SHORT = 1 << 19, 64
 
@@ -84,12 +86,17 @@ class Merges:
             if self.of[a] in self.token and self.of[b] in self.token and self._first_join(a, b) == (a, b):
                 self.token[self.of[whole]] = whole
         self.longest = max(map(len, self.token))
-        #: Lengths of the tokens that end in two given bytes, longest first, and one for any byte.
-        ends: dict[bytes, set[int]] = {}
+        #: By the last TAIL bytes: tokens that may end there, longest first, as (token, size); those beyond TAIL bytes
+        #: are still to be looked up, so they have no token here. Shorter keys serve where the longer ones are missing.
+        keys = {raw_[-TAIL:] for raw_ in self.token}
+        long: dict[bytes, set[int]] = {}
         for raw_ in self.token:
-            if len(raw_) > 1:
-                ends.setdefault(raw_[-2:], {1}).add(len(raw_))
-        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+            if len(raw_) > TAIL:
+                long.setdefault(raw_[-TAIL:], set()).add(len(raw_))
+        self.tails: dict[bytes, tuple[tuple[int | None, int], ...]] = {}
+        for k in keys:
+            short = [(self.token[k[-size:]], size) for size in range(len(k), 0, -1) if k[-size:] in self.token]
+            self.tails[k] = (*((None, size) for size in sorted(long.get(k, ()), reverse=True)), *short)
         #: Bytes behind a token's end that always suffice to tell whether it stays.
         self.lookahead = self.longest - 1
 
@@ -149,18 +156,26 @@ class Transducer:
         return out
 
     def _extend(self, part: bytes) -> None:
-        token, apart, last, n, ends = self.table.token, self.table.apart, self.last, len(self.buf), self.table.ends
+        table, last, n, before = self.table, self.last, len(self.buf), self.before
+        token, tails, pairs, apart = table.token.get, table.tails.get, table.pairs.get, table.apart
         self.buf = buf = self.buf + part
         for i in range(n + 1, len(buf) + 1):
-            for size in ends.get(buf[i - 2 : i], (1,)) if i > 1 else (1,):
-                t = token.get(buf[i - size : i]) if size <= i else None
-                if t is not None:
-                    prev = last[i - size - 1][0] if i > size else self.before
-                    if prev is None or apart(prev, t):
-                        last.append((t, size))
-                        break
+            tail = buf[max(i - TAIL, 0) : i]
+            while (found := tails(tail)) is None:
+                if not (tail := tail[1:]):
+                    raise ValueError(f"byte {buf[i - 1]} is not in the vocabulary")
+            for end in found:
+                t, size = end
+                if t is None:
+                    if size > i or (t := token(buf[i - size : i])) is None:
+                        continue
+                    end = t, size
+                prev = last[i - size - 1][0] if i > size else before
+                if prev is None or (apart(prev, t) if (known := pairs((prev, t))) is None else known):
+                    last.append(end)
+                    break
             else:
-                raise ValueError(f"byte {buf[i - 1]} is not in the vocabulary")
+                raise ValueError(f"no token ends at byte {buf[i - 1]}")
 
     def _chain(self, end: int) -> list[int]:
         out = []
