@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,13 +22,34 @@ def degrees(netp: DataFrame) -> DataFrame:
 
 
 def knn(coords: DataFrame, k: int, reach: float) -> DataFrame:
-    """(cell_id, rank, neighbor_id): the cell itself, then its nearest within ``reach``, ``k`` in all; ties by id."""
+    """(cell_id, rank, neighbor_id): the cell itself, then its nearest, ``k`` in all or as many as there are; ties by id.
+
+    ``reach`` is the radius of the first search; cells that lack neighbours there are searched again at twice the radius
+    until all are served. A cell without an id or finite coordinates has only itself.
+    """
+    from ..plans.storage import settle
     from .spatial import range_pairs
 
-    own = coords.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(-1.0).alias("d2"))
+    if not reach > 0:
+        raise ValueError("reach must be above zero")
+    finite = F.col("cell_id").isNotNull() & (F.abs("x") < F.lit(float("inf"))) & (F.abs("y") < F.lit(float("inf")))
+    cells = settle(coords.select("cell_id", "x", "y"))
+    here = cells.where(finite)
+    wanted = min(k, here.select("cell_id").distinct().count())
+    lone = cells.where(~F.coalesce(finite, F.lit(False))).select("cell_id", F.lit(1).alias("rank"), F.col("cell_id").alias("neighbor_id"))
     order = Window.partitionBy("src").orderBy("d2", "dst")
-    ranked = range_pairs(coords, reach).unionByName(own).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(F.col("src").alias("cell_id"), "rank", F.col("dst").alias("neighbor_id"))
+    found, left = [lone.where(F.lit(k > 0))], here
+    while wanted:
+        own = left.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(-1.0).alias("d2"))
+        ranked = range_pairs(here, reach, left).unionByName(own).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        ranked = settle(ranked.select(F.col("src").alias("cell_id"), "rank", F.col("dst").alias("neighbor_id")))
+        served = ranked.where(F.col("rank") == wanted).select("cell_id")  # what lies outside is farther than all of these
+        found.append(ranked.join(served, "cell_id", "left_semi"))
+        left = settle(left.join(served, "cell_id", "left_anti"))
+        if left.isEmpty():
+            break
+        reach *= 2
+    return reduce(DataFrame.unionByName, found)
 
 
 def snn(knn_table: DataFrame, k: int, prune: float = 1 / 15) -> DataFrame:

@@ -15,16 +15,18 @@ from .permute import OBSERVED, permuted_labels
 CONTACT_TYPES = ("Cell-Cell Contact", "Cell-CellContact")
 
 
-def range_pairs(coords: DataFrame, reach: float) -> DataFrame:
-    """(src, dst, d2) of all ordered pairs of different cells within ``reach``, in the coordinates' own unit.
+def range_pairs(coords: DataFrame, reach: float, sources: DataFrame | None = None) -> DataFrame:
+    """(src, dst, d2) of all ordered pairs of different cells within ``reach``, in the coordinates' own unit; those of
+    ``sources`` only if given.
 
     Grid join: a square of side ``reach`` meets its nine neighbours by an equi-join on the square, then the distance
     decides. Rows grow with cells x cells of a neighbourhood; a crowded square is an equi-join key that adaptive
     execution splits.
     """
     square = lambda c: F.floor(F.col(c) / F.lit(float(reach)))
-    here = coords.where("x is not null and y is not null").select("cell_id", "x", "y", square("x").alias("gx"), square("y").alias("gy"))
-    a = here.select(F.col("cell_id").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.explode(F.sequence(F.col("gx") - 1, F.col("gx") + 1)).alias("gx"), "gy")
+    squares = lambda c: c.where("x is not null and y is not null").select("cell_id", "x", "y", square("x").alias("gx"), square("y").alias("gy"))
+    here = squares(coords)
+    a = (here if sources is None else squares(sources)).select(F.col("cell_id").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.explode(F.sequence(F.col("gx") - 1, F.col("gx") + 1)).alias("gx"), "gy")
     a = a.select("src", "x1", "y1", "gx", F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)).alias("gy"))
     b = here.select(F.col("cell_id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), "gx", "gy")
     dx, dy = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")

@@ -67,6 +67,29 @@ def test_snn(spark):
     assert (0, 3) not in {(r.i, r.j) for r in graph.snn(knn, 3, 0.6).collect()}
 
 
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_knn_reaches_every_cell(spark, k):
+    """Clusters, twins, a far cell and one without coordinates against a full sort; more cells than there are is no error."""
+    rng = np.random.default_rng(3)
+    xy = np.vstack([rng.normal(0, 0.01, (9, 2)), rng.normal(5, 0.01, (2, 2)), [[5, 5], [5, 5], [900, -900]]])
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(90, None, 1.0), (91, float("nan"), 1.0), (92, float("inf"), 1.0), (None, 0.0, 0.0)]
+    got = [tuple(r) for r in graph.knn(spark.createDataFrame(rows, "cell_id long, x double, y double"), k, 0.02).collect()]
+    assert got.count((None, 1, None)) == 1
+    got = sorted(r for r in got if r[0] is not None)
+    want = [(i, 1, i) for i in (90, 91, 92)]
+    for i, at in enumerate(xy):
+        d2 = ((xy - at) ** 2).sum(1)
+        want += [(i, n + 1, int(j)) for n, j in enumerate(sorted(range(len(xy)), key=lambda j: (j != i, d2[j], j))[:k])]
+    assert got == sorted(want)
+
+
+def test_knn_of_nothing(spark):
+    empty = spark.createDataFrame([], "cell_id long, x double, y double")
+    assert graph.knn(empty, 3, 0.1).collect() == []
+    with pytest.raises(ValueError):
+        graph.knn(empty, 3, 0.0)
+
+
 TOY = np.array([[0, 0.5, 0], [0.3, 0, 0.2], [0, 0.4, 0]])
 
 
