@@ -119,3 +119,62 @@ def test_nmf_and_cophenetic():
     w, h = patterns.nmf(m, 2)
     assert np.abs(w @ h - m).max() < 0.02 and (w >= 0).all() and (h >= 0).all()
     assert patterns.cophenetic(np.array([[0, 0], [0, 1], [9, 9], [9, 8.0]])) > 0.95
+
+
+def random_graph(seed, n=6, share=0.6):
+    rng = np.random.default_rng(seed)
+    w = rng.integers(1, 4, (n, n)) * (rng.random((n, n)) < share).astype(float)
+    ring = np.roll(np.eye(n), 1, axis=1)  # strongly connected, so that every value below is unique
+    return np.where((w == 0) & (ring > 0), 1.0, w)
+
+
+def paths(length, at, to, seen=()):
+    if at == to:
+        return [(0.0, (to,))]
+    steps = [u for u in np.flatnonzero(length[at]) if u not in (*seen, at)]
+    return [(length[at, u] + d, (at, *p)) for u in steps for d, p in paths(length, u, to, (*seen, at))]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_betweenness_against_all_paths(seed):
+    length = random_graph(seed, share=0.4)
+    n = len(length)
+    want = np.zeros(n)
+    for s in range(n):
+        for t in set(range(n)) - {s}:
+            every = paths(length, s, t)
+            short = [p for d, p in every if d == min(every)[0]]
+            for v in set(range(n)) - {s, t}:
+                want[v] += sum(v in p for p in short) / len(short)
+    assert graph.betweenness(length) == pytest.approx(want / ((n - 1) * (n - 2)))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_information_against_resistances(seed):
+    w = random_graph(seed)
+    u = np.maximum(w, w.T)
+    np.fill_diagonal(u, 0)
+    lap, n = np.diag(u.sum(1)) - u, len(u)
+    far = np.zeros(n)
+    for s in range(n):
+        for t in set(range(n)) - {s}:
+            rest = [i for i in range(n) if i != t]  # one unit goes in at s and out at t, which is grounded
+            far[s] += np.linalg.solve(lap[np.ix_(rest, rest)], np.eye(n)[s][rest])[rest.index(s)]
+    assert graph.information(w) == pytest.approx(1 / far)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_spectral_centralities_against_eigenvectors(seed):
+    w = random_graph(seed)
+    n = len(w)
+
+    def top(m):
+        values, vectors = np.linalg.eig(m)
+        v = np.abs(np.real(vectors[:, np.argmax(np.real(values))]))
+        return v / v.sum()
+
+    hub, authority = graph.hits(w)
+    assert hub == pytest.approx(top(w @ w.T), abs=1e-5) and authority == pytest.approx(top(w.T @ w), abs=1e-5)
+    assert graph.centralities(w)["eigenvector"] == pytest.approx(top((w > 0).astype(float).T), abs=1e-5)
+    flow = np.linalg.solve(np.eye(n) - 0.85 * (w / w.sum(1)[:, None]).T, np.full(n, 0.15 / n))
+    assert graph.pagerank(w) == pytest.approx(flow, abs=1e-9)
