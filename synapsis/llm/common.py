@@ -105,7 +105,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Alternating large-star and small-star contraction: each round is two aggregations and two equi-joins on the
     edges, written to the shared folder; chains shorten geometrically. Minima are pre-aggregated before each shuffle
-    and joined back, so a hub with very many links is split by adaptive execution. Nothing is collected but a count
+    and joined back. A hub's links meet in one task until they are large enough for adaptive execution to split them. Nothing is collected but a count
     and a checksum.
     """
 
