@@ -15,6 +15,7 @@ from .aggregate import group_aggregate, scaled
 from .model import lr_expression, population_shares, probability
 
 OBSERVED, DIGITS = -1, 12
+QUANTILES = {"triMean": (0.25, 0.5, 0.75), "median": (0.5,)}
 
 
 def ranked(df: DataFrame, keys: list[str], code) -> DataFrame:
@@ -55,8 +56,32 @@ def reject_share(scores: DataFrame, keys: list[str], nboot: int) -> DataFrame:
 
 def _order(ids: np.ndarray, seed: int, part) -> np.ndarray:
     """Places of ``ids`` in the order of md5(seed|part|id), then id."""
-    digests = [hashlib.md5(f"{seed}|{part}|{i}".encode()).hexdigest() for i in ids.tolist()]
-    return np.array(sorted(range(len(ids)), key=lambda k: (digests[k], ids[k])), np.int64)
+    digests = b"".join(hashlib.md5(f"{seed}|{part}|{i}".encode()).digest() for i in ids.tolist())
+    high, low = np.frombuffer(digests, ">u8").reshape(-1, 2).astype(np.uint64).T
+    return np.lexsort((ids, low, high))
+
+
+def _places(quantiles: tuple[float, ...], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the values on both sides of every quantile (2 x quantiles, groups), and the share of the upper one."""
+    h = np.array(quantiles)[:, None] * (sizes - 1)[None, :]
+    low = np.floor(h).astype(np.int64)
+    return np.repeat(low, 2, axis=0) + np.tile([[0], [1]], (len(quantiles), 1)), h - low
+
+
+def _in_order(places: np.ndarray, n: np.ndarray, negative: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where ``places`` are among a group's ``n`` sorted values other than zero; -1 for a zero and past the end."""
+    zeros = sizes - n
+    at = np.where(places < negative, places, places - zeros)
+    return np.where((places >= negative) & (places < negative + zeros) | (places >= sizes), -1, at)
+
+
+def _group_values(value: np.ndarray, codes: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The values at the places ``at`` (any, groups) of each group's part of the sorted ``value``; zero where -1."""
+    if (at < 0).all():
+        return np.zeros(at.shape)
+    grouped = value[np.argsort(codes, kind="stable")]  # a radix sort of small integers keeps the order of values
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    return np.where(at < 0, 0.0, grouped[np.maximum(first + at, 0).clip(max=len(grouped) - 1)])
 
 
 def sorted_gene_kernel(expression: DataFrame, cells: DataFrame, genes: DataFrame, p: Params) -> DataFrame:
@@ -90,7 +115,7 @@ def sorted_gene_kernel(expression: DataFrame, cells: DataFrame, genes: DataFrame
         table[k + 1] = np.frombuffer(row.as_buffer(), kind)
     sizes = np.bincount(codes, minlength=len(names))
     shared = spark.sparkContext.broadcast((ids, table))
-    quantiles = (0.25, 0.5, 0.75) if p.mean_method.value == "triMean" else (0.5,)
+    places, share = _places(QUANTILES[p.mean_method.value], sizes)
 
     def one(key, rows):
         ids, table = shared.value
@@ -98,22 +123,18 @@ def sorted_gene_kernel(expression: DataFrame, cells: DataFrame, genes: DataFrame
         at = np.searchsorted(ids, cell)
         known = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == cell)
         value, at = value[known], at[known]
+        value, at = value[value != 0], at[value != 0]
         order = np.argsort(value, kind="stable")
         value, at = value[order], at[order]
+        below = np.searchsorted(value, 0.0)
         out = np.zeros((len(table), len(names)))
         for k, row in enumerate(table):
             mine = row[at]
-            for g in range(len(names)):
-                v, n = value[mine == g], sizes[g]
-                zero, neg = n - len(v), np.searchsorted(v, 0.0)
-                pick = lambda i: v[i] if i < neg else 0.0 if i < neg + zero else v[i - zero]
-                q = []
-                for f in quantiles:
-                    h = f * (n - 1)
-                    low = int(h)
-                    a = pick(low)
-                    q.append(a + (h - low) * (pick(low + 1) - a) if low + 1 < n else a)
-                out[k, g] = (q[0] + 2 * q[1] + q[2]) / 4 if len(q) == 3 else q[0]
+            n = np.bincount(mine, minlength=len(names))
+            v = _group_values(value, mine, _in_order(places, n, np.bincount(mine[:below], minlength=len(names)), sizes), n)
+            past = places[1::2] >= sizes
+            q = v[::2] + np.where(past, 0.0, share * (v[1::2] - v[::2]))
+            out[k] = (q[0] + 2 * q[1] + q[2]) / 4 if len(q) == 3 else q[0]
         perm = np.repeat(np.arange(-1, len(table) - 1), len(names)).astype(np.int32)
         return pa.table({"perm": perm, "gene": pa.array([key[0].as_py()] * out.size), "group_name": pa.array(np.tile(names, len(table)).tolist()), "avg": out.ravel()})
 
@@ -125,6 +146,99 @@ def sorted_gene_kernel(expression: DataFrame, cells: DataFrame, genes: DataFrame
 
 #: Labels of all permutations up to this size may be broadcast.
 LABEL_BYTES = 256 << 20
+#: Values of a gene that one task of the plan "split" sorts, about.
+PART_ROWS = 1 << 16
+
+
+def split_gene_averages(expression: DataFrame, cells: DataFrame, genes: DataFrame, p: Params, part_rows: int = PART_ROWS) -> DataFrame:
+    """(perm, gene, group_name, avg) as of ``sorted_gene_kernel``, for any number of cells: nothing is broadcast or
+    collected but counts, and no task holds all cells or a whole gene.
+
+    A row for each value carries its cell's labels under all permutations as small integers. A gene's values are cut at
+    approximate quantiles: values between two cuts are one part, and those equal to a cut, however many, another, which
+    is dealt to several tasks. Parts count their values by permutation and group; a gene's counts, added up, tell which
+    part has the values around a quantile, and at which place; those parts look them up. Quantile methods only.
+    """
+    spark = expression.sparkSession
+    named = cells.where("group_name is not null").groupBy("group_name").agg(F.count("*").alias("size"))
+    groups = settle(named.withColumn("code", F.row_number().over(Window.orderBy("group_name")) - 1))  # a row for each group
+    n_groups, n_perms = groups.count(), p.nboot + 1
+    if not n_groups:
+        return spark.createDataFrame([], "perm int, gene string, group_name string, avg double")
+    sizes = np.array([r.size for r in groups.orderBy("code").collect()])
+    quantiles = QUANTILES[p.mean_method.value]
+    places, share = _places(quantiles, sizes)
+    kind = "smallint" if n_groups <= 1 << 15 else "int"
+
+    labels = permuted_labels(cells, p.nboot, p.seed, observed=True).join(groups.select("group_name", F.col("code").cast(kind)), "group_name")
+    of_cell = labels.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("perm", "code"))).alias("__l")).select("cell_id", F.col("__l.code").alias("labels"))
+    there = expression.where("value != 0").select("cell_id", "gene", "value")
+    most = there.groupBy("gene").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    parts = -(-most // part_rows)
+    fractions = [(k + 1) / parts for k in range(parts - 1)] or [0.5]
+    cuts = there.groupBy("gene").agg(F.percentile_approx("value", fractions, max(10000, 10 * parts)).alias("cuts"), F.ceil(F.count("*") / part_rows).alias("m"))
+    chosen = lambda c, k: F.floor((k + 1) * F.col("m") / parts) > F.floor(k * F.col("m") / parts)
+    cuts = settle(cuts.select("gene", "m", F.array_distinct(F.filter("cuts", chosen)).alias("cuts") if parts > 1 else F.expr("cast(array() as array<double>)").alias("cuts")))
+    below = F.size(F.filter("cuts", lambda c: c < F.col("value")))
+    equal = F.array_contains("cuts", F.col("value"))
+    dealt = F.when(equal, F.pmod(F.xxhash64("cell_id"), F.col("m"))).otherwise(0).cast("int")
+    rows = there.join(cuts, "gene").select("cell_id", "gene", "value", (2 * below + equal.cast("int")).alias("part"), dealt.alias("salt"))
+    rows = settle(rows.join(of_cell, "cell_id").select("gene", "part", "salt", "value", "labels").repartition("gene", "part", "salt"))
+
+    def matrix(column):
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n_perms)
+
+    def count(key, t):
+        flat = matrix(t.column("labels")).astype(np.int64) + np.arange(n_perms) * n_groups
+        under = t.column("value").to_numpy() < 0
+        n, negative = (np.bincount(f.ravel(), minlength=n_perms * n_groups).astype(np.int64).tobytes() for f in (flat, flat[under]))
+        return pa.table({"gene": [key[0].as_py()], "part": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([n], pa.binary()), "negative": pa.array([negative], pa.binary())})
+
+    def aim(key, t):
+        total, negative, by_part = 0, 0, {}
+        for k, n, under in zip(t.column("part").to_pylist(), t.column("n"), t.column("negative")):
+            n, under = (np.frombuffer(x.as_buffer(), np.int64).reshape(n_perms, n_groups) for x in (n, under))
+            by_part[k], total, negative = by_part.get(k, 0) + n, total + n, negative + under
+        want = np.stack([_in_order(places, total[k], negative[k], sizes) for k in range(n_perms)])  # permutation, slot, group
+        out, before = [], 0
+        for k in sorted(by_part):
+            upto = before + by_part[k]
+            at = want - (before if isinstance(before, int) else before[:, None, :])
+            hit = np.argwhere((want >= 0) & (at >= 0) & (want < upto[:, None, :]))
+            out.append(np.column_stack([np.full(len(hit), k), hit, at[tuple(hit.T)]]))
+            before = upto
+        part, perm, slot, code, at = np.concatenate(out).T
+        return pa.table({"gene": pa.array([key[0].as_py()] * len(part), pa.string()), "part": part.astype(np.int32), "perm": perm.astype(np.int32), "slot": slot.astype(np.int32), "code": code.astype(np.int32), "at": at.astype(np.int64)})
+
+    def pick(key, t, wanted):
+        value, codes = t.column("value").to_numpy(), matrix(t.column("labels"))
+        order = np.argsort(value, kind="stable")
+        value, codes = value[order], codes[order]
+        perm, slot, code, at = (wanted.column(c).to_numpy() for c in ("perm", "slot", "code", "at"))
+        found = np.empty(len(perm))
+        for k in np.unique(perm):
+            here, mine = perm == k, codes[:, k]
+            first = np.concatenate([[0], np.cumsum(np.bincount(mine, minlength=n_groups))[:-1]])
+            found[here] = value[np.argsort(mine, kind="stable")][first[code[here]] + at[here]]
+        return pa.table({"gene": pa.array([key[0].as_py()] * len(perm), pa.string()), "perm": perm, "slot": slot, "code": code, "value": found})
+
+    counts = rows.groupBy("gene", "part", "salt").applyInArrow(count, "gene string, part int, n binary, negative binary")
+    aims = settle(counts.groupBy("gene").applyInArrow(aim, "gene string, part int, perm int, slot int, code int, at bigint"))
+    between, on_cut = F.col("part") % 2 == 0, F.col("part") % 2 == 1
+    looked = rows.where(between).join(aims.select("gene", "part").distinct(), ["gene", "part"], "left_semi").groupBy("gene", "part").cogroup(aims.where(between).groupBy("gene", "part"))
+    values = looked.applyInArrow(pick, "gene string, perm int, slot int, code int, value double")
+    equals = aims.where(on_cut).join(cuts, "gene").select("gene", "perm", "slot", "code", F.expr("cuts[cast((part - 1) / 2 as int)]").alias("value"))
+    slots = [F.max(F.when(F.col("slot") == k, F.col("value"))).alias(f"v{k}") for k in range(2 * len(quantiles))]
+    seen = values.unionByName(equals).groupBy("gene", "perm", "code").agg(*slots)
+
+    grid = genes.select("gene").union(cuts.select("gene")).distinct().join(groups).join(spark.range(n_perms).select(F.col("id").cast("int").alias("perm")))
+    q = []
+    for k, f in enumerate(quantiles):
+        h = F.lit(f) * (F.col("size") - 1)
+        a, b = (F.coalesce(f"v{2 * k + j}", F.lit(0.0)) for j in (0, 1))
+        q.append(a + F.when(F.floor(h) + 1 < F.col("size"), (h - F.floor(h)) * (b - a)).otherwise(0.0))
+    avg = (q[0] + 2 * q[1] + q[2]) / 4 if len(q) == 3 else q[0]
+    return grid.join(seen, ["gene", "perm", "code"], "left").select((F.col("perm") - 1).alias("perm"), "gene", "group_name", avg.alias("avg"))
 
 
 def commun_prob(data: Dataset, db: Database, p: Params = Params(), plan: str = "auto", p_spatial: DataFrame | None = None) -> DataFrame:
@@ -133,14 +247,18 @@ def commun_prob(data: Dataset, db: Database, p: Params = Params(), plan: str = "
     ``p_spatial(source, target, p)`` is a factor between groups, of the observed and the permuted scores alike.
 
     plan "sql" carries a row for each value and permutation; "kernel" sorts each gene once (quantile methods, labels
-    within LABEL_BYTES); "auto" takes the kernel where it can.
+    within LABEL_BYTES); "split" cuts genes into parts (quantile methods, any size). All give the same numbers; "auto"
+    takes the kernel within that size and "split" beyond it, and "sql" for the other methods.
     """
     expression, cells = scaled(data.expression), data.cells.select("cell_id", "group_name")
     quantile = p.mean_method.value in ("triMean", "median")
     if plan == "auto":
-        plan = "kernel" if quantile and p.nboot and cells.count() * 2 * (p.nboot + 1) <= LABEL_BYTES else "sql"
+        small = p.nboot and quantile and cells.count() * 2 * (p.nboot + 1) <= LABEL_BYTES
+        plan = "kernel" if small else "split" if quantile and p.nboot else "sql"
     if plan == "kernel":
         avgs = sorted_gene_kernel(expression, cells, data.genes, p)
+    elif plan == "split":
+        avgs = split_gene_averages(expression, cells, data.genes, p)
     else:
         avgs = group_aggregate(expression, permuted_labels(cells, p.nboot, p.seed, observed=True), data.genes, p.mean_method, p.trim)
     shares = population_shares(cells) if p.population_size else None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import Dataset
+from ..schema import INTERACTION, MEMBER, Database, Dataset
 
 
 def structured(spark: SparkSession, n_cells: int, n_types: int = 14, n_genes: int = 3000, seed: int = 42, density: float = 0.1) -> Dataset:
@@ -28,3 +28,15 @@ def spatial(spark: SparkSession, n_cells: int, n_types: int = 14, seed: int = 42
     side = int(n_types**0.5 + 0.999)
     t = F.col("id") % n_types
     return spark.range(n_cells).select(F.col("id").alias("cell_id"), ((t % side) * 250 + F.randn(seed) * 50).alias("x"), (F.floor(t / side) * 250 + F.randn(seed + 1) * 50).alias("y"))
+
+
+def pairs(spark: SparkSession, n_pairs: int, n_genes: int = 3000, seed: int = 42) -> Database:
+    """A knowledge base of single genes: a ligand and a receptor for each pair, fifty pairs a pathway."""
+    pick = lambda side: F.concat(F.lit("GENE"), F.pmod(F.xxhash64("id", F.lit(side), F.lit(seed)), F.lit(n_genes)))
+    blank = {c: F.lit(None).cast("string") for c in ("agonist", "antagonist", "co_a_receptor", "co_i_receptor", "interaction_type")}
+    rows = spark.range(n_pairs).select(
+        F.col("id").cast("int").alias("lr_id"), F.concat(F.lit("LR"), "id").alias("interaction_name"), F.concat(F.lit("P"), F.floor(F.col("id") / 50)).alias("pathway_name"),
+        pick("ligand").alias("ligand"), pick("receptor").alias("receptor"), *(v.alias(c) for c, v in blank.items()),
+    )
+    none = spark.createDataFrame([], MEMBER)
+    return Database(rows.select(*INTERACTION.names), none, none)

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 from synapsis.operators import lrdb, model, network, permute
@@ -54,6 +57,39 @@ def test_kernel_equals_sql(spark):
             assert r.pval * 6 == pytest.approx(round(r.pval * 6)) and (r.prob > 0 or r.pval == 1)
 
 
+def test_averages_of_all_plans(spark):
+    """Genes dense and sparse, many ties, negative values, cells without a label, a gene without any value."""
+    rng = random.Random(3)
+    cells = spark.createDataFrame([(i, rng.choice(["a", "b", "c", "c", None])) for i in range(200)], CELLS)
+    density = {"A": 0.95, "B": 0.5, "C": 0.2, "D": 0.7}
+    rows = [(i, g, rng.choice([1.0, 1.0, 2.0, -1.0, rng.random()])) for i in range(200) for g in density if rng.random() < density[g]]
+    e, genes = spark.createDataFrame(rows, EXPRESSION), spark.createDataFrame([(g,) for g in "ABCDE"], GENES)
+    label = {(r.perm, r.cell_id): r.group_name for r in permute.permuted_labels(cells, 2, observed=True).collect()}
+    size = {g: sum(1 for (k, _), x in label.items() if k == -1 and x == g) for g in "abc"}
+    for method, at in ((MeanMethod.TRI_MEAN, (25, 50, 75)), (MeanMethod.MEDIAN, (50,))):
+        want = {}
+        for k in (-1, 0, 1):
+            for gene in "ABCDE":
+                for g in "abc":
+                    v = [x for i, name, x in rows if name == gene and label.get((k, i)) == g]
+                    q = np.percentile(v + [0.0] * (size[g] - len(v)), at)
+                    want[k, gene, g] = pytest.approx((q[0] + 2 * q[1] + q[2]) / 4 if len(q) == 3 else q[0])
+        p = Params(mean_method=method, nboot=2)
+        plans = [permute.sorted_gene_kernel(e, cells, genes, p)] + [permute.split_gene_averages(e, cells, genes, p, n) for n in (1 << 16, 7)]
+        for avgs in plans:
+            got = avgs.collect()
+            assert len(got) == len(want) and {(r.perm, r.gene, r.group_name): r.avg for r in got} == want
+    none = e.limit(0)
+    assert {r.avg for r in permute.split_gene_averages(none, cells, genes, p).collect()} == {0.0}
+    assert permute.split_gene_averages(e, cells.limit(0), genes, p).count() == 0
+
+
+def test_split_equals_kernel(spark, sf):
+    data, db, p = adapter.dataset(spark, sf), adapter.database(spark), Params(nboot=3)
+    a, b = (permute.commun_prob(data, db, p, plan).orderBy("source", "target", "lr_id").collect() for plan in ("kernel", "split"))
+    assert a == b and any(r.prob > 0 for r in a)
+
+
 def test_fast_parameters():
     assert Params.fast().mean_method is MeanMethod.MEDIAN and Params.fast().nboot == 50 and Params.fast(nboot=7).nboot == 7
 
