@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hill
 from ..plans.storage import settle
 from ..schema import Database, Params, SpatialParams
+from .aggregate import quantiles
 from .lrdb import cleaned
 from .model import distinct_names
 from .permute import OBSERVED, permuted_labels
@@ -178,8 +179,11 @@ def region_distance(coords: DataFrame, cells: DataFrame, ratio: float = 1.0, bin
     b = points.select(F.col("group_name").alias("target"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2"))
     dx, dy = F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")
     pairs = a.join(b, F.col("source") != F.col("target")).select("source", "target", (F.sqrt(dx * dx + dy * dy) * ratio).alias("d"), (F.col("w1") * F.col("w2")).alias("w"))
-    middle = F.sum(F.col("d") * F.col("w")) / F.sum("w") if mean else F.percentile("d", F.lit(0.5), F.col("w"))
-    out = pairs.groupBy("source", "target").agg(middle.alias("dist"))
+    if mean:
+        out = pairs.groupBy("source", "target").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("dist"))
+    else:  # equal distances go as one row; running sums over a sort, which spills
+        rows = pairs.groupBy("source", "target", F.col("d").alias("value")).agg(F.sum("w").alias("freq"))
+        out = quantiles(rows, ["source", "target"], (0.5,)).select("source", "target", F.col("q0").alias("dist"))
     own = here.select("group_name").distinct().select(F.col("group_name").alias("source"), F.col("group_name").alias("target"), F.lit(0.0).alias("dist"))
     return out.unionByName(own)
 
