@@ -93,3 +93,11 @@ def test_over_expressed_finds_the_planted_gene(spark):
 def test_empty_tables(spark):
     e, c, g = spark.createDataFrame([], EXPRESSION), spark.createDataFrame([], CELLS), spark.createDataFrame([], GENES)
     assert aggregate.group_aggregate(e, c, g).count() == 0 and preprocess.normalize(e).count() == 0
+
+
+def test_rounded_lut_is_the_rounded_hill(spark):
+    df = spark.range(1, 200001).select((F.col("id") / 150000.0).alias("x"))
+    for n in (1.0, 2.0, 3.0):
+        both = df.select(hill_lut(F.col("x"), n=n, digits=4).alias("l"), F.round(hill(F.col("x"), n=n), 4).alias("h"), F.round(hill_lut(F.col("x"), n=n), 4).alias("old"))
+        assert both.where("l <> h").count() == 0
+        assert n != 1 or both.where("old <> h").count() > 0
