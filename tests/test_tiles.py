@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_space_graph import coords
 
-from synapsis.operators import graph, spatial, tiles
+from synapsis.operators import distances, graph, spatial, tiles
 from synapsis.plans.storage import shared_folder
 from synapsis.schema import INTERACTION, MEMBER, Database, Params, SpatialParams
 
@@ -47,10 +47,21 @@ def world(spark, n, pairs=18, side=6.0, seed=3):
 
 @pytest.fixture
 def small_tiles(monkeypatch):
-    monkeypatch.setattr(tiles, "AREA", 64)
     monkeypatch.setattr(tiles.tiles, "__defaults__", (5,))
 
 
+def test_blocks_hold_every_near_pair(monkeypatch):
+    monkeypatch.setattr(tiles, "AREA", 64)
+    rng = np.random.default_rng(6)
+    a, b = (rng.random((n, 2)) * 3 for n in (50, 70))
+    a, b = (tuple(x[np.argsort(x[:, 0])].T) for x in (a, b))
+    got = np.full((50, 70), np.inf)
+    for i, j, d2 in tiles.blocks(a, b, 0.7):
+        got[i, j] = d2
+    want = (a[0][:, None] - b[0]) ** 2 + (a[1][:, None] - b[1]) ** 2
+    assert (np.where(got <= 0.49, got, 0) == np.where(want <= 0.49, want, 0)).all()
+
+
 def test_prob_cell_against_loops(spark, small_tiles):
     args, want = world(spark, 60)
     got = {(r.src, r.dst, r.lr_id): r.prob for r in spatial.prob_cell(*args).collect()}
@@ -138,3 +149,32 @@ def test_knn_of_a_dense_square(spark):
     finally:
         spatial.range_pairs = real
     assert not calls
+
+
+def test_medians_of_all_distances(spark, monkeypatch):
+    """Against numpy, with blocks of a few points, and with two passes of a few steps before the values."""
+    rng = np.random.default_rng(2)
+    for n, digits, leave in ((90, 1, 1 << 21), (121, 6, 1 << 21), (90, 6, 40), (60, 0, 5), (1, 1, 5)):
+        monkeypatch.setattr(distances, "BLOCK", 16)
+        monkeypatch.setattr(distances, "STEPS", 8 if leave < 100 else 2048)
+        monkeypatch.setattr(distances, "LEAVE", leave)
+        xy = np.round(rng.normal(size=(n, 2)), digits)
+        c = coords(spark, xy)
+        dx, dy = (xy[:, None, k] - xy[None, :, k] for k in (0, 1))
+        d = np.sqrt(dx * dx + dy * dy)
+        assert spatial.median_distance(c) == ((float(np.median(d[d > 0])), int((d > 0).sum())) if (d > 0).any() else (0.0, 0))
+        cells = spark.createDataFrame([(i, "abcd"[i % 4]) for i in range(n)], "cell_id long, group_name string")
+        got = {(r.source, r.target): r.dist for r in spatial.region_distance(c, cells, 2.0).collect()}
+        label = np.arange(n) % 4
+        want = {("abcd"[a], "abcd"[b]): 2 * float(np.median(d[label == a][:, label == b])) if a != b else 0.0 for a in range(min(n, 4)) for b in range(min(n, 4))}
+        assert got == pytest.approx(want, rel=1e-14)
+
+
+def test_median_of_two_large_groups(spark):
+    n = 3000
+    xy = np.random.default_rng(4).random((n, 2))
+    c = coords(spark, xy)
+    cells = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(n)], "cell_id long, group_name string")
+    d = np.sqrt(((xy[::2, None] - xy[None, 1::2]) ** 2).sum(2))
+    got = {(r.source, r.target): r.dist for r in spatial.region_distance(c, cells).collect()}
+    assert got["a", "b"] == pytest.approx(float(np.median(d)), rel=1e-14) and got["b", "a"] == got["a", "b"]
