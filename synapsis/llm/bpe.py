@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import KEPT, map_rows
 
 #: How byte-level models cut text before merges: a fixed value.
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -274,6 +274,15 @@ class Decoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def _forget() -> None:
+    if _encoders:
+        _encoders.clear()
+        merges.cache_clear()
+
+
+KEPT.append(_forget)
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for this vocabulary."""
     if path not in _encoders:

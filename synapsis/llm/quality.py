@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, batch, map_rows
+from .common import WORD, batch, lighten, map_rows
 
 #: Largest share of the characters in words that repeated n-grams may cover (places after the first), by n: fixed values.
 NGRAM_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -84,6 +84,7 @@ def repetition(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
     keys = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
 
     def of(texts):
+        lighten()
         found = [measure(x) for x in texts]
         return batch(SCHEMA, *([m[c] for m in found] for c in SCHEMA.names)).columns
 

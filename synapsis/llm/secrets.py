@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, pieces
 
 #: Kinds in the order in which equal starts are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "private_key", "github", "slack", "google", "jwt")
@@ -65,7 +65,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
 
 
 def _scan(batches):
-    for b in batches:
+    for b in pieces(batches):
         found = [find(t) for t in b.column("text").to_pylist()]
         kinds, starts, ends = ([[x[i] for x in f] for f in found] for i in range(3))
         yield pa.RecordBatch.from_arrays([b.column("blob"), pa.array(kinds, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["blob", "kinds", "starts", "ends"])
@@ -150,7 +150,7 @@ def redact(docs: DataFrame, text_col: str = "text", ledger: DataFrame | None = N
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name not in ("blob", "kinds", "starts", "ends"))
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             texts = []
             for text, kinds, starts, ends in zip(*(b.column(c).to_pylist() for c in (f"c{at}", "kinds", "starts", "ends"))):
                 if starts:

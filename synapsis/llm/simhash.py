@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_binary, batch, components, with_rid
+from .common import Scratch, as_binary, batch, components, pieces, with_rid
 from .exchange import step
 
 SEED, REFS, BUCKET = 42, 12, 4096
@@ -451,7 +451,7 @@ def similar_documents(docs: DataFrame, rid_col: str, id_col: str = "doc_id", tex
     kind = dict(rows.dtypes)["doc_id"]
 
     def prints(batches):
-        for b in batches:
+        for b in pieces(batches):
             node, buckets, sketch = [], [], []
             for raw in b.column("raw").to_pylist():
                 h = np.unique(shingles(raw, words))
@@ -462,12 +462,12 @@ def similar_documents(docs: DataFrame, rid_col: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["rid", "doc_id", "node", "buckets", "sketch"])
 
     def whole_sets(batches):
-        for b in batches:
+        for b in pieces(batches):
             sets = [np.unique(shingles(raw, words)).tobytes() for raw in b.column("raw").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
     def verify(batches):
-        for b in batches:
+        for b in pieces(batches):
             ok = [similar(*(np.unique(shingles(x, words)) for x in both)) for both in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
