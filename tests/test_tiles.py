@@ -178,3 +178,29 @@ def test_median_of_two_large_groups(spark):
     d = np.sqrt(((xy[::2, None] - xy[None, 1::2]) ** 2).sum(2))
     got = {(r.source, r.target): r.dist for r in spatial.region_distance(c, cells).collect()}
     assert got["a", "b"] == pytest.approx(float(np.median(d)), rel=1e-14) and got["b", "a"] == got["a", "b"]
+
+
+def test_tiles_of_every_size(spark):
+    """Each pair within the radius once, from tiles of four radii to a quarter; few copies of a cell where tiles are large."""
+    n, reach = 1500, 0.25
+    xy = np.random.default_rng(7).integers(-128, 128, (n, 2)) / 64  # on the tiles' edges, and many of them on one place
+    cells = coords(spark, xy).select("cell_id", F.lit(0).alias("slice"), "x", "y").unionByName(spark.createDataFrame([(n, 0, None, 1.0)], "cell_id long, slice int, x double, y double"))
+    want = int((((xy[:, None] - xy[None]) ** 2).sum(2) <= reach * reach).sum()) + 1
+    weights = cells.select("cell_id", F.array(F.lit(0)).alias("columns"))
+    rows = {}
+    for chunk in (5000, 400, 100, 30, 10, 3):
+        made = tiles.tiles(cells, cells, reach, chunk)
+        rows[chunk] = made.where("side = 1").count()
+        assert made.where("side = 0").count() == n + 1
+        both = tiles.tiles(cells.join(weights, "cell_id"), cells.join(weights, "cell_id"), reach, chunk)
+        got = both.mapInArrow(tiles.sums_of(tiles.Within(reach), 1, 1, False), spatial._SUMS)
+        assert got.agg(F.sum("total")).first()[0] == want
+    assert n < rows[5000] < 3 * n and rows[5000] < rows[100] < rows[3]
+
+
+def test_names_do_not_shuffle_expression(spark):
+    """Knowledge-base tables come with their sizes, so that cells' values meet them where they are."""
+    args, _ = world(spark, 20)
+    for side in spatial.cell_expression(args[0], args[1], args[3]):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
