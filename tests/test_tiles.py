@@ -204,3 +204,25 @@ def test_names_do_not_shuffle_expression(spark):
     for side in spatial.cell_expression(args[0], args[1], args[3]):
         plan = side._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_middle_found_in_fewer_looks(spark, monkeypatch):
+    """Two looks at all pairs, as a few points say where the middle is; where they are wrong, all distances are counted."""
+    n = 3000
+    monkeypatch.setattr(distances, "STEPS", 64)
+    monkeypatch.setattr(distances, "LEAVE", 8000)
+    xy = np.random.default_rng(8).random((n, 2))
+    points = spark.createDataFrame([(i % 2, float(x), float(y), 1) for i, (x, y) in enumerate(xy)], "g int, x double, y double, w long")
+    d = np.sqrt(((xy[::2, None] - xy[None, 1::2]) ** 2).sum(2))
+    want = float(np.median(d)), d.size
+    looks, real = [], type(points).mapInArrow
+    monkeypatch.setattr(type(points), "mapInArrow", lambda self, *a: looks.append(1) or real(self, *a))
+    assert distances.medians(points, same=False)[0, 1] == pytest.approx(want, rel=1e-14)
+    assert len(looks) == 2
+    heavy = points.withColumn("w", F.when(F.col("x") < 0.1, 5).otherwise(1).cast("long"))
+    many = np.where(xy[:, 0] < 0.1, 5, 1)
+    wide = np.repeat(np.repeat(d, many[::2], 0), many[1::2], 1)
+    assert distances.medians(heavy, same=False)[0, 1] == pytest.approx((float(np.median(wide)), wide.size), rel=1e-14)
+    for wrong in ((1e-9, 2e-9), (1.5, 1.6)):
+        monkeypatch.setattr(distances, "_intervals", lambda *a, wrong=wrong: {(0, 1): wrong})
+        assert distances.medians(points, same=False)[0, 1] == pytest.approx(want, rel=1e-14)
