@@ -226,3 +226,14 @@ def test_middle_found_in_fewer_looks(spark, monkeypatch):
     for wrong in ((1e-9, 2e-9), (1.5, 1.6)):
         monkeypatch.setattr(distances, "_intervals", lambda *a, wrong=wrong: {(0, 1): wrong})
         assert distances.medians(points, same=False)[0, 1] == pytest.approx(want, rel=1e-14)
+
+
+def test_permuted_labels_are_not_stored_as_rows(spark):
+    """What a test by permutation leaves: a row for each cell, not for each cell and permutation."""
+    n, nboot = 3000, 40
+    places = spark.range(n).select(F.col("id").alias("cell_id"), (F.col("id") % 60 / 2.0).alias("x"), F.floor(F.col("id") / 60).cast("double").alias("y"))
+    cells = spark.range(n).select(F.col("id").alias("cell_id"), F.concat(F.lit("a group of a long name "), F.col("id") % 7).alias("group_name"))
+    before = stored()
+    got = {(r.source, r.target): r.n for r in spatial.colocalization(places, cells, 0.1, nboot).collect()}
+    assert sum(got.values()) == n and all(a == b for a, b in got)
+    assert stored() - before < 600_000
